@@ -102,11 +102,11 @@ def splitting_tree(quotas: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, shards: int = SHARDS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, shard, place of every document, whatever other columns it has.
+    """doc_id, source, size, source_size, target, taken, shards, place of every document, whatever other columns it has.
 
     `taken` counts the words drawn, repeats included: at most max_epochs * size, and over a source within one word of
-    its target. The last document drawn from a source may be taken in part. `shard` holds the document's first copy
-    (null if nothing is taken) and `place` orders the documents of a shard. Null text has size 0; a null source is a
+    its target. The last document drawn from a source may be taken in part. `shards` names the shard of each copy
+    (empty if nothing is taken) and `place` orders the documents of a shard. Null text has size 0; a null source is a
     source of its own, the last. The draw depends on ids, sizes and sources only, so reruns agree; rows that repeat
     an id and size are drawn next to each other. An empty table gives no rows.
     """
@@ -134,14 +134,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     placed = placed.withColumn("before", F.col("base") + running - F.col("size"))
     rest = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
     taken = (F.col("epochs") * F.col("size") + rest).cast("long")
-    block = F.floor(F.col("before") / F.col("block_words"))
-    shard = F.size(F.filter("ends", lambda e: e <= block)).cast("int")
-    return placed.select(
-        "doc_id", "source", "size", "source_size", "target", taken.alias("taken"),
-        F.when(taken > 0, F.least(shard, F.lit(shards - 1))).alias("shard"), F.xxhash64(F.lit(SEED + 1), "doc_id").alias("place"),
-    )
+    last_copy = F.ceil(F.col("taken") / F.col("size")) - 1
+
+    def shard_of(copy: Column) -> Column:
+        block = F.floor((copy * F.col("source_size") + F.col("before")) / F.col("block_words"))
+        return F.size(F.filter("ends", lambda e: e <= block)).cast("int")
+
+    placed = placed.withColumn("taken", taken)
+    copies = F.when(F.col("taken") > 0, F.transform(F.sequence(F.lit(0).cast("long"), last_copy), shard_of)).otherwise(F.array().cast("array<int>"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", "taken", copies.alias("shards"), F.xxhash64(F.lit(SEED + 1), "doc_id").alias("place"))
 
 
 def write_shards(mixed: DataFrame, path: str) -> None:
-    """Writes the drawn documents, one directory a shard, each shuffled locally by `place`."""
-    mixed.where("taken > 0").repartition("shard").sortWithinPartitions("shard", "place").write.partitionBy("shard").parquet(path)
+    """Writes the drawn copies, one directory a shard, each shuffled locally by `place`."""
+    mixed.select("doc_id", "size", "taken", "place", F.posexplode("shards").alias("copy", "shard")).repartition("shard").sortWithinPartitions("shard", "place").write.partitionBy("shard").parquet(path)

@@ -10,7 +10,7 @@ from tallyframe.llm.common import table
 
 def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixture.mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "shard")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import exact_dedup, license_scan, mixture
+from tallyframe.llm import exact_dedup, license_scan, mixture, token_count
 from tallyframe.llm.common import table
 
 
@@ -12,6 +12,12 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op2_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(token_count.TOKENIZER))
+
+
 def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixture.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "shards")
@@ -21,5 +27,5 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(spark, f"{sf_dir}/documents.parquet")
 
 
-QUERIES = {"op1_license_scan": op1_license_scan, "op3_mixture": op3_mixture, "op7_exact_dedup": op7_exact_dedup}
+QUERIES = {"op1_license_scan": op1_license_scan, "op2_token_count": op2_token_count, "op3_mixture": op3_mixture, "op7_exact_dedup": op7_exact_dedup}
 ORACLES = {"op7_exact_dedup": exact_dedup.ORACLE}

@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.common import ascii_lower, shared_dir, stored, whole_text
 
-PROVIDER_KEY = "spark.sql.streaming.stateStore.providerClass"
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Without it each of many small stores reserves megabytes of disk for its logs.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def digested(docs: DataFrame) -> DataFrame:
@@ -31,15 +34,14 @@ def update_state(spark: SparkSession, path: str, checkpoint: str) -> None:
     files = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
     rows = digested(files.select("doc_id", "text", F.col("_metadata.file_path").alias("locator")))
     state = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("doc_id", "locator")).alias("kept_at"))
-    before = spark.conf.get(PROVIDER_KEY, None)
-    spark.conf.set(PROVIDER_KEY, PROVIDER)
+    before = {key: spark.conf.get(key, None) for key in STORE}
+    for key, value in STORE.items():
+        spark.conf.set(key, value)
     try:
         state.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER_KEY)
-        else:
-            spark.conf.set(PROVIDER_KEY, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyframe.llm import decontaminate, exact_dedup, license_scan, lm_score, mixture, simhash_dedup, token_count
+from tallyframe.llm import decontaminate, exact_dedup, license_scan, line_dedup, lm_score, mixture, simhash_dedup, token_count
 from tallyframe.llm.common import table
 
 
@@ -39,5 +40,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(spark, f"{sf_dir}/documents.parquet")
 
 
-QUERIES = {"op1_license_scan": op1_license_scan, "op2_token_count": op2_token_count, "op3_mixture": op3_mixture, "op4_simhash": op4_simhash, "op5_lm_score": op5_lm_score, "op6_decontaminate": op6_decontaminate, "op7_exact_dedup": op7_exact_dedup}
-ORACLES = {"op7_exact_dedup": exact_dedup.ORACLE}
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode(F.coalesce("kept", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+
+
+QUERIES = {"op1_license_scan": op1_license_scan, "op2_token_count": op2_token_count, "op3_mixture": op3_mixture, "op4_simhash": op4_simhash, "op5_lm_score": op5_lm_score, "op6_decontaminate": op6_decontaminate, "op7_exact_dedup": op7_exact_dedup, "op8_line_dedup": op8_line_dedup}
+ORACLES = {"op7_exact_dedup": exact_dedup.ORACLE, "op8_line_dedup": line_dedup.ORACLE}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import decontaminate, exact_dedup, license_scan, line_dedup, lm_score, mixture, simhash_dedup, token_count
+from tallyframe.llm import decontaminate, exact_dedup, language_id, license_scan, line_dedup, lm_score, mixture, simhash_dedup, token_count
 from tallyframe.llm.common import table
 
 
@@ -45,5 +45,9 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode(F.coalesce("kept", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_license_scan": op1_license_scan, "op2_token_count": op2_token_count, "op3_mixture": op3_mixture, "op4_simhash": op4_simhash, "op5_lm_score": op5_lm_score, "op6_decontaminate": op6_decontaminate, "op7_exact_dedup": op7_exact_dedup, "op8_line_dedup": op8_line_dedup}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_license_scan": op1_license_scan, "op2_token_count": op2_token_count, "op3_mixture": op3_mixture, "op4_simhash": op4_simhash, "op5_lm_score": op5_lm_score, "op6_decontaminate": op6_decontaminate, "op7_exact_dedup": op7_exact_dedup, "op8_line_dedup": op8_line_dedup, "op9_language_id": op9_language_id}
 ORACLES = {"op7_exact_dedup": exact_dedup.ORACLE, "op8_line_dedup": line_dedup.ORACLE}

@@ -24,8 +24,8 @@ from tallyframe.llm.common import fold_of, stored, whole_text
 BITS = 22
 #: Bound of the sample: labelled rows of each class.
 SAMPLE = 4_000
-#: FTRL-proximal: rate, smoothing, L1, L2; passes over the sample.
-ALPHA, BETA, L1, L2, PASSES = 0.1, 1.0, 2.0, 1.0, 3
+#: FTRL-proximal: rate, smoothing, L1, L2; passes over the sample; rows of the sample that a slot must occur in.
+ALPHA, BETA, L1, L2, PASSES, LEAST_ROWS = 4.0, 1.0, 8.0, 0.01, 10, 2
 _TRIM = b".,;:!?\"'()[]{}#$%&*-_"
 _WORDS = 500_000
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -64,6 +64,10 @@ def fit(rows: list[tuple[np.ndarray, int]], passes: int = PASSES, seed: int = 3)
     """Slots and weights that are not zero, of rows of distinct slots and a label. The last slot (2**BITS) is the bias."""
     n = (1 << BITS) + 1
     z, g2 = np.zeros(n), np.zeros(n)
+    met = np.zeros(n, dtype=np.int64)
+    for at, _ in rows:
+        met[at] += 1
+    rows = [(at[met[at] >= LEAST_ROWS], label) for at, label in rows]
     order = np.arange(len(rows))
     rng = np.random.default_rng(seed)
 

@@ -1,4 +1,8 @@
 """The registered queries over the given tables and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from tallyframe.plans import text_queries
+
+QUERIES: dict = {**text_queries.QUERIES}
+ORACLES: dict = {**text_queries.ORACLES}

@@ -36,7 +36,7 @@ def weighted_choice(scores: dict[str, Column], weights: dict[str, float], lower_
 def uniform_within(options: DataFrame, group: str, total: str, delta: float) -> DataFrame:
     """options with p: uniform over those of the group within delta of its best total. Bests are joined, not windowed."""
     best = options.groupBy(group).agg(F.max(total).alias("__best"))
-    near = F.col("__best") - F.col(total) <= delta
+    near = F.col("__best") - F.col(total) <= delta + 1e-9
     marked = options.join(best, group).withColumn("__near", near.cast("int"))
     n = marked.groupBy(group).agg(F.sum("__near").alias("__n"))
     return marked.join(n, group).withColumn("p", F.round(F.col("__near") / F.col("__n"), 6)).drop("__best", "__near", "__n")

@@ -242,7 +242,7 @@ def temperature_grid(rows: DataFrame, grid: list[float], *by: str) -> DataFrame:
 def fit_temperature(rows: DataFrame, *by: str, least: int = 20, rounds: int = 4, width: int = 15) -> DataFrame:
     """temperature of each group by refined grids in log space; 1 for groups of fewer than `least` rows.
 
-    Each round is one aggregate over the rows with a grid around each group's best point so far; only groups and
+    Temperatures are looked for from 1/20 to 20. Each round is one aggregate over the rows with a grid around each group's best point so far; only groups and
     their best points are carried from round to round.
     """
     import math
@@ -252,11 +252,11 @@ def fit_temperature(rows: DataFrame, *by: str, least: int = 20, rounds: int = 4,
     rows = rows.withColumn("__all", F.lit(1))
     by = by or ("__all",)
     best = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).withColumn("center", F.lit(0.0))
-    reach = math.log(20.0)
+    reach = reach_all = math.log(20.0)
     for _ in range(rounds):
         steps = [reach * (2 * k / (width - 1) - 1) for k in range(width)]
         near = rows.join(best.where(F.col("n") >= least), list(by))
-        points = near.withColumn("t", F.explode(F.array(*[F.col("center") + F.lit(s) for s in steps])))
+        points = near.withColumn("t", F.explode(F.array(*[F.greatest(F.lit(-reach_all), F.least(F.lit(reach_all), F.col("center") + F.lit(s))) for s in steps])))
         p = F.element_at(P.softmax(F.col("z"), F.exp("t")), F.col("gold") + 1)
         losses = points.groupBy(*by, "n", "t").agg(F.avg(P.nll(p)).alias("loss"))
         found = losses.groupBy(*by, "n").agg(F.min_by("t", "loss").alias("center"))

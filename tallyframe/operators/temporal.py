@@ -61,6 +61,7 @@ def to_utc(local: Column, zone: Column) -> Column:
 def sessions(events: DataFrame, key: str, at: str, gap_seconds: int) -> DataFrame:
     """key, session, start, end, n: runs of a key's events with gaps of at most gap_seconds."""
     by = Window.partitionBy(key).orderBy(at, "event_id")
-    fresh = (F.unix_micros(at) - F.unix_micros(F.lag(at).over(by)) > gap_seconds * 1_000_000).cast("int")
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    fresh = (micros - F.lag(micros).over(by) > gap_seconds * 1_000_000).cast("int")
     numbered = events.withColumn("session", F.sum(F.coalesce(fresh, F.lit(0))).over(by))
     return numbered.groupBy(key, "session").agg(F.min(at).alias("start"), F.max(at).alias("end"), F.count(F.lit(1)).alias("n"))

@@ -11,10 +11,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster shares (spark.checkpoint.dir), or one for local runs where it is unset."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints").rstrip("/")
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that the cluster shares: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    root = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints").rstrip("/")
-    path = f"{root}/{uuid.uuid4().hex}"
+    """df as a table in the shared folder: cuts the lineage and survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -159,6 +159,26 @@ def isolation_report(docs: DataFrame, family: str) -> DataFrame:
     return report.join(shared, family, "left").select(family, "splits", "in_train", F.coalesce("shared_keys", F.lit(0)).alias("shared_keys"))
 
 
+def token_set_matches(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, item_id, jaccard of token sets at the threshold or more.
+
+    An item's tokens are ranked by how rare they are among documents; a match must share one of the rarest
+    size - ceil(t * size) + 1, so only those meet the documents' tokens.
+    """
+    d = stored(docs.select("doc_id", F.array_distinct(T.words(T.normalize(F.col("text")))).alias("t")).where(F.size("t") > 0))
+    i = items.select("item_id", F.array_distinct(T.words(T.normalize(F.col("text")))).alias("t")).where(F.size("t") > 0)
+    tokens = d.select("doc_id", F.size("t").alias("n_doc"), F.explode("t").alias("w"))
+    own = i.select("item_id", F.explode("t").alias("w"))
+    df = tokens.join(own.select("w").distinct(), "w", "left_semi").groupBy("w").count()
+    ordered = own.join(df, "w", "left").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("c"), "w"))).alias("o"))
+    n = F.size("o")
+    prefix = ordered.select("item_id", n.alias("n_item"), F.explode(F.slice("o", F.lit(1), (n - F.ceil(n * F.lit(threshold) - 1e-9) + 1).cast("int"))).alias("x")).select("item_id", "n_item", "x.w")
+    fits = F.least("n_doc", "n_item") >= F.greatest("n_doc", "n_item") * F.lit(threshold) - 1e-9
+    near = tokens.join(prefix, "w").where(fits).select("doc_id", "item_id").distinct()
+    both = near.join(d, "doc_id").join(i.select("item_id", F.col("t").alias("u")), "item_id")
+    return both.select("doc_id", "item_id", T.jaccard(F.col("t"), F.col("u")).alias("jaccard")).where(F.col("jaccard") >= threshold)
+
+
 def similar_vectors(vectors: DataFrame, threshold: float) -> DataFrame:
     """label, id_a, id_b, cosine of pairs of a label at the threshold or more.
 

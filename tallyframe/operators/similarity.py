@@ -109,16 +109,16 @@ def shingle_contamination(docs: DataFrame, items: DataFrame, n: int = 8, share:
 ENTITY = r"[A-Z][a-z]+ [A-Z][a-z]+|[A-Z]{2,}-[0-9]+|[a-z]+[A-Z][A-Za-z]+|[0-9]+ (?:kg|km|ms|MB|GB)"
 
 
-def entities(c: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(ENTITY), F.lit(0)), lambda e: F.lower(e)))
+def entities(c: Column, pattern: str = ENTITY) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), lambda e: F.lower(e)))
 
 
-def entity_contamination(docs: DataFrame, items: DataFrame, item_df: int = 3, corpus_share: float = 0.002, least: int = 1) -> DataFrame:
+def entity_contamination(docs: DataFrame, items: DataFrame, item_df: int = 3, corpus_share: float = 0.002, least: int = 3, pattern: str = ENTITY) -> DataFrame:
     """doc_id, item_id, shared: documents that share at least `least` rare entities with an item.
 
     Rare: in at most item_df items and in at most max(3, corpus_share * documents) documents.
     """
-    e_docs, e_items = (t.select(k, F.explode(entities(F.col("text"))).alias("e")) for t, k in ((docs, "doc_id"), (items, "item_id")))
+    e_docs, e_items = (t.select(k, F.explode(entities(F.col("text"), pattern)).alias("e")) for t, k in ((docs, "doc_id"), (items, "item_id")))
     rare_items = e_items.join(e_items.groupBy("e").count().where(F.col("count") <= item_df).select("e"), "e", "left_semi")
     most = max(3.0, corpus_share * docs.count())
     met = e_docs.join(rare_items.select("e").distinct(), "e", "left_semi")

@@ -109,14 +109,18 @@ def contamination_exact_shingle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.shingle_contamination(docs_of(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+#: The corpus has no proper names: a capitalised word and the one after it stand for one.
+_NAMES = "[A-Z][a-z]+ [a-z]{4,}"
+
+
 @query(f"""
-WITH de AS (SELECT DISTINCT doc_id, lower(e) AS e FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{similarity.ENTITY}')) AS e FROM documents)),
-ie AS (SELECT DISTINCT item_id, lower(e) AS e FROM (SELECT item_id, unnest(regexp_extract_all(text, '{similarity.ENTITY}')) AS e FROM benchmark)),
+WITH de AS (SELECT DISTINCT doc_id, lower(e) AS e FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_NAMES}')) AS e FROM documents)),
+ie AS (SELECT DISTINCT item_id, lower(e) AS e FROM (SELECT item_id, unnest(regexp_extract_all(text, '{_NAMES}')) AS e FROM benchmark)),
 ri AS (SELECT e FROM ie GROUP BY e HAVING count(*) <= 3), rd AS (SELECT e FROM de GROUP BY e HAVING count(*) <= greatest(3.0, 0.002 * (SELECT count(*) FROM documents)))
-SELECT doc_id, item_id, CAST(count(*) AS BIGINT) AS shared FROM de JOIN ie USING (e) WHERE e IN (SELECT e FROM ri) AND e IN (SELECT e FROM rd) GROUP BY ALL
+SELECT doc_id, item_id, CAST(count(*) AS BIGINT) AS shared FROM de JOIN ie USING (e) WHERE e IN (SELECT e FROM ri) AND e IN (SELECT e FROM rd) GROUP BY ALL HAVING count(*) >= 2
 """)
 def contamination_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.entity_contamination(docs_of(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return similarity.entity_contamination(docs_of(spark, sf_dir), table(spark, sf_dir, "benchmark"), least=2, pattern=_NAMES)
 
 
 _SKEL_WORDS = f"string_split(trim(regexp_replace(regexp_replace(lower({SKELETON}), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')), ' ')"

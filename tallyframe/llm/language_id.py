@@ -168,11 +168,15 @@ class Network:
 def sample_spans(docs: DataFrame) -> pd.DataFrame:
     """lang, spans of a bounded sample of the labelled documents (columns doc_id, text, lang)."""
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(F.col("text").rlike(r"\p{L}"))
-    rates = labelled.groupBy("lang").agg((F.lit(float(SAMPLE_DOCS)) / F.count(F.lit(1))).alias("rate"))
+    sizes = labelled.groupBy("lang").count().collect()
+    if not sizes:
+        return pd.DataFrame({"lang": [], "spans": []})
+    # One entry a language: looked up in the row, so that no text is shuffled to its language's rate.
+    rate = F.element_at(F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(SAMPLE_DOCS / r["count"]))]), F.col("lang"))
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     room = F.greatest(F.char_length("text") - SPAN, F.lit(0)) + 1
     spans = F.transform(F.sequence(F.lit(1), F.lit(SAMPLE_SPANS)), lambda i: F.substring("text", F.pmod(F.xxhash64("doc_id", i), room).cast("int") + 1, F.lit(SPAN)))
-    return labelled.join(rates, "lang").where(place < F.col("rate")).select("doc_id", "lang", spans.alias("spans")).toPandas().sort_values(["lang", "doc_id"])
+    return labelled.where(place < rate).select("doc_id", "lang", spans.alias("spans")).toPandas().sort_values(["lang", "doc_id"])
 
 
 def train(docs: DataFrame) -> Network | None:

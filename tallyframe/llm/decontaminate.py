@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import whole_text
+from tallyframe.llm.common import stored, whole_text
 
 SIMILARITY = 0.8
 #: Items shorter than this are looked for exactly: an edit would leave little of them.
@@ -193,5 +193,10 @@ def _matcher(key: int, shared, similarity: float, schema: pa.Schema):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents that hold no item, with all their columns. A null doc_id stays."""
-    return docs.join(contaminated(docs, benchmark, similarity).select("doc_id").distinct(), "doc_id", "left_anti")
+    """The documents that hold no item, with all their columns. A null doc_id stays.
+
+    The ids of the others are written first: few as they are, they are then planned as a broadcast, and no document
+    is shuffled to meet them.
+    """
+    leaks = stored(contaminated(docs, benchmark, similarity).select("doc_id").distinct())
+    return docs.join(leaks, "doc_id", "left_anti")

@@ -2,7 +2,8 @@
 
 A rule is (priority, label, keyword, regex) over a text's lower-cased words joined by single blanks. Priority 1 is a
 machine-readable tag, 2 the wording of a grant or notice, 3 a licence's full name or address, 4 a bare mention. Only
-texts that hold the keyword as a word are matched against the rule.
+texts that hold the keyword as a word are matched against the rule: every match holds one of the words that the
+keyword names (a/b: either; a*: any word that begins so).
 """
 
 from __future__ import annotations
@@ -29,9 +30,9 @@ intel intel | hpnd hpnd | sleepycat sleepycat | tcl tcl | w3c w3c | zpl-2.1 zpl
 #: Wordings of grants and notices: label, keyword, regex.
 NOTICES = """
 mit | permission | permission is hereby granted free of charge to any person obtaining a copy
-mit | software | the above copyright notice and this permission notice shall be included in all copies or substantial portions
-mit | licensed | (?:released|licensed|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?mit
-mit | license | licen[sc]e mit
+mit | permission | the above copyright notice and this permission notice shall be included in all copies or substantial portions
+mit | mit | (?:released|licensed|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?mit
+mit | license/licence | licen[sc]e mit
 isc | permission | permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted
 hpnd | permission | permission to use copy modify and distribute this software and its documentation for any purpose
 zlib | software | this software is provided as is without any express or implied warranty
@@ -41,27 +42,27 @@ bsd | redistributions | redistributions of source code must retain the above cop
 bsd | redistributions | redistributions in binary form must reproduce the above copyright notice
 bsd | endorse | neither the name of .{1,80}? nor the names of its contributors may be used to endorse
 bsd | advertising | all advertising materials mentioning features or use of this software must display
-bsd | licensed | (?:released|licensed|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:new |modified |simplified )?bsd
+bsd | bsd | (?:released|licensed|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:new |modified |simplified )?bsd
 apache | licensed | licensed under the apache license(?: version)? ?2 0
-apache | licensed | (?:released|licensed|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?apache
+apache | apache | (?:released|licensed|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?apache
 apache | compliance | you may not use this file except in compliance with the license
 apache | contributor | licensed to the apache software foundation asf under one or more contributor license agreements
 gpl | redistribute | you can redistribute it and or modify it under the terms of the gnu general public license
 gpl | redistribute | free software you can redistribute it and or modify it
 gpl | received | you should have received a copy of the gnu general public license
-gpl | licensed | (?:released|licensed|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:gnu )?gpl(?: ?v?[123])?
+gpl | gpl* | (?:released|licensed|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:gnu )?gpl(?: ?v?[123])?
 gpl | license | gnu general public license(?: as published by the free software foundation)? (?:either )?version [123](?: 0)?(?: of the license)?(?: or at your option any later version)?
 lgpl | redistribute | you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license
 lgpl | received | you should have received a copy of the gnu (?:lesser|library) general public license
-lgpl | licensed | (?:released|licensed|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:gnu )?lgpl
+lgpl | lgpl* | (?:released|licensed|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:gnu )?lgpl
 agpl | redistribute | you can redistribute it and or modify it under the terms of the gnu affero general public license
 agpl | received | you should have received a copy of the gnu affero general public license
-agpl | licensed | (?:released|licensed|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:gnu )?agpl
+agpl | agpl* | (?:released|licensed|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:gnu )?agpl
 mpl | source | this source code form is subject to the terms of the mozilla public license
 mpl | contents | the contents of this file are subject to the mozilla public license
-mpl | licensed | (?:released|licensed|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:mpl|mozilla public)
+mpl | mpl/mozilla | (?:released|licensed|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:mpl|mozilla public)
 epl | accompanying | this program and the accompanying materials are made available under the terms of the eclipse public license
-epl | licensed | (?:released|licensed|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:epl|eclipse public)
+epl | epl/eclipse | (?:released|licensed|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:epl|eclipse public)
 cddl | contents | the contents of this file are subject to the terms of the common development and distribution license
 boost | distributed | distributed under the boost software license version 1 0
 boost | permission | permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation
@@ -83,12 +84,12 @@ php | product | this product includes php software freely available
 openssl | product | this product includes software developed by the openssl project
 ncsa | deal | permission is hereby granted free of charge .{1,120}? to deal with the software without restriction
 eupl | licensed | licensed under the eupl(?: version)?
-ms-pl | licensed | (?:released|licensed|distributed) under (?:the )?(?:microsoft public|ms pl)
-artistic | licensed | (?:released|licensed|distributed|available) under (?:the )?(?:terms of )?(?:the )?(?:perl )?artistic
+ms-pl | microsoft/ms | (?:released|licensed|distributed) under (?:the )?(?:microsoft public|ms pl)
+artistic | artistic | (?:released|licensed|distributed|available) under (?:the )?(?:terms of )?(?:the )?(?:perl )?artistic
 perl | perl | under the same terms as perl(?: itself)?
-sspl | licensed | (?:released|licensed|distributed|available) under (?:the )?(?:sspl|server side public)
-busl | licensed | (?:released|licensed|distributed|available) under (?:the )?(?:busl|bsl|business source)
-elastic | licensed | (?:released|licensed|distributed|available) under (?:the )?elastic license
+sspl | sspl/server | (?:released|licensed|distributed|available) under (?:the )?(?:sspl|server side public)
+busl | busl/bsl/business | (?:released|licensed|distributed|available) under (?:the )?(?:busl|bsl|business source)
+elastic | elastic | (?:released|licensed|distributed|available) under (?:the )?elastic license
 proprietary | rights | all rights reserved
 proprietary | confidential | (?:confidential and proprietary|proprietary and confidential)
 proprietary | unauthorized | unauthorized (?:copying|reproduction|distribution|use)(?: or \\S+)? of this (?:file|software|work|document)
@@ -97,23 +98,23 @@ proprietary | permission | (?:may not|must not) be (?:copied|reproduced|distribu
 
 #: Full names: label, keyword, regex.
 NAMES = """
-mit | license | (?:the )?(?:expat|mit x11|x11) licen[sc]e
+mit | license/licence | (?:the )?(?:expat|mit x11|x11) licen[sc]e
 mit | licence | (?:the )?(?:mit|expat|x11) licence
-apache | license | (?:the )?apache(?: software)? license(?: version)? ?[12] [01]
+apache | apache | (?:the )?apache(?: software)? license(?: version)? ?[12] [01]
 apache | licence | (?:the )?apache(?: software)? licence
-apache | asl | (?:apache )?asl ?2 0
+apache | asl* | (?:apache )?asl ?2 0
 gpl | license | (?:the )?gnu general public license
 gpl | licence | (?:gnu )?general public licence
-gpl | gpl | gnu gpl(?: ?v?[123](?: 0)?)?
-gpl | gplv2 | gplv2\\S*
-gpl | gplv3 | gplv3\\S*
+gpl | gpl* | gnu gpl(?: ?v?[123](?: 0)?)?
+gpl | gpl* | gplv2\\S*
+gpl | gpl* | gplv3\\S*
 lgpl | license | (?:the )?(?:gnu )?(?:lesser|library) general public license
-lgpl | lgpl | (?:gnu )?lgpl(?: ?v?[23](?: [01])?)?
-lgpl | lgplv2 | lgplv2\\S*
-lgpl | lgplv3 | lgplv3\\S*
+lgpl | lgpl* | (?:gnu )?lgpl(?: ?v?[23](?: [01])?)?
+lgpl | lgpl* | lgplv2\\S*
+lgpl | lgpl* | lgplv3\\S*
 agpl | license | (?:the )?(?:gnu )?affero general public license
-agpl | agpl | (?:gnu )?agpl(?: ?v?3(?: 0)?)?
-agpl | agplv3 | agplv3\\S*
+agpl | agpl* | (?:gnu )?agpl(?: ?v?3(?: 0)?)?
+agpl | agpl* | agplv3\\S*
 bsd | license | (?:(?:two|three|four|2|3|4) clause )?(?:new |modified |revised |simplified )?(?:bsd|freebsd|netbsd)(?: (?:2|3|4) clause)? license
 bsd | licence | (?:new |modified |simplified )?bsd licence
 isc | license | isc license
@@ -163,8 +164,8 @@ apsl | license | apple public source license
 w3c | license | w3c software (?:notice and )?license
 zpl | license | zope public license
 lppl | license | latex project public license
-mulan | license | mulan (?:psl|permissive software license)
-nasa | license | nasa open source agreement
+mulan | mulan | mulan (?:psl|permissive software license)
+nasa | nasa | nasa open source agreement
 sleepycat | license | sleepycat license
 """
 
@@ -219,4 +220,5 @@ def rules() -> list[tuple[int, str, str, str]]:
 
 
 def keywords() -> list[str]:
-    return sorted({keyword for _, _, keyword, _ in rules()})
+    """The words and, with a star, the beginnings of words that the rules name."""
+    return sorted({one for _, _, keyword, _ in rules() for one in keyword.split("/")})

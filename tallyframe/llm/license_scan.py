@@ -23,13 +23,28 @@ SCORES = (1.0, 0.9, 0.75, 0.5)
 _RULE = "struct<rule:int,priority:int,label:string,base:boolean,regex:string>"
 
 
+def _rules() -> Column:
+    """Every rule, folded into one literal by the optimizer."""
+    bases = {phrase for phrase, _ in BASE}
+    found = [{"rule": i, "priority": p, "label": label, "base": p == 4 and regex in bases, "regex": f"(?<![^ ])(?:{regex})(?![^ ])"} for i, (p, label, _, regex) in enumerate(rules())]
+    return F.from_json(F.lit(json.dumps(found)), f"array<{_RULE}>")
+
+
 def _rule_map() -> Column:
-    """keyword -> its rules, folded into one literal by the optimizer."""
+    """keyword -> the numbers of its rules, from one, folded into one literal by the optimizer."""
     by: dict[str, list] = {}
-    bases = {phrase for phrase, _ in BASE}
-    for i, (priority, label, keyword, regex) in enumerate(rules()):
-        by.setdefault(keyword, []).append({"rule": i, "priority": priority, "label": label, "base": priority == 4 and regex in bases, "regex": f"(?<![^ ])(?:{regex})(?![^ ])"})
-    return F.from_json(F.lit(json.dumps(by)), f"map<string,array<{_RULE}>>")
+    for i, (_, _, keyword, _) in enumerate(rules(), 1):
+        for one in keyword.split("/"):
+            by.setdefault(one, []).append(i)
+    return F.from_json(F.lit(json.dumps(by)), "map<string,array<int>>")
+
+
+def _held(norm: Column) -> Column:
+    """The keywords that the text holds; a beginning of words stands with its star."""
+    whole, begun = [k for k in keywords() if k[-1] != "*"], [k for k in keywords() if k[-1] == "*"]
+    padded = F.concat(F.lit(" "), norm)
+    starts = [F.when(F.contains(padded, F.lit(" " + k[:-1])), F.lit(k)) for k in begun]
+    return F.concat(F.array_intersect(F.split(norm, " "), F.array(*[F.lit(k) for k in whole])), F.array_compact(F.array(*starts)))
 
 
 def _blanks(c: Column) -> Column:
@@ -75,7 +90,7 @@ def _sweep(hits: Column) -> Column:
 
 def _gate() -> str:
     """One pass over the raw text: may it hold a keyword as a word?"""
-    return "(?i)(?<![0-9a-z])(?:" + "|".join(keywords()) + ")(?![0-9a-z])"
+    return "(?i)(?<![0-9a-z])(?:" + "|".join(k[:-1] + "[0-9a-z]*" if k[-1] == "*" else k for k in keywords()) + ")(?![0-9a-z])"
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
@@ -88,8 +103,8 @@ def license_scan(docs: DataFrame) -> DataFrame:
     text = whole_text()
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
     counted = docs.select("doc_id", F.size(words).cast("long").alias("n_words"), F.when(text.rlike(_gate()), F.translate(F.array_join(words, " "), UPPER, LOWER)).alias("norm"))
-    held = F.array_intersect(F.split("norm", " "), F.array(*[F.lit(k) for k in keywords()]))
-    found = F.flatten(F.transform(held, lambda k: F.flatten(F.transform(F.element_at(_rule_map(), k), lambda r: _matches(F.col("norm"), r)))))
+    numbers = F.array_distinct(F.flatten(F.transform(_held(F.col("norm")), lambda k: F.element_at(_rule_map(), k))))
+    found = F.flatten(F.transform(numbers, lambda i: _matches(F.col("norm"), F.element_at(_rules(), i))))
     none = F.array().cast("array<struct<start:int,back:int,priority:int,rule:int,label:string,base:boolean>>")
     hits = counted.withColumn("hits", F.when(F.col("norm").isNull(), none).otherwise(found)).drop("norm")
     swept = hits.withColumn("base", F.filter("hits", lambda h: h["base"])).withColumn("kept", F.when(F.size("hits") > 0, _sweep(F.col("hits"))))

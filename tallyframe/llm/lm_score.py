@@ -3,16 +3,16 @@
 The model is a byte-context trie of order five, counted over all training documents. An order's unseen symbols share
 its escape mass, estimated as the number of distinct symbols seen over that number plus the count (method C), and are
 predicted one order lower with the symbols that the longer context has seen excluded. A text's score is the code
-length of its lower-cased bytes and of an end mark, as a log10 probability. A pretrained trie's predictions are fixed,
-so a worker tabulates them once per context and scores every byte of a text by look-ups in numpy.
+length of its lower-cased bytes and of an end mark, as a log10 probability.
 
-The trie keeps at most NODES contexts of each order, the most frequent (of order two all, at most 65,536); a text that
-meets another context goes on at the order below. That bounds the counts that are broadcast and the tables that a
-worker makes of them, however large the corpus is.
+The trie is kept whole, as one table for each order: a row is a context with its at most 256 symbols and what an
+escape from it costs. A pretrained trie's prediction depends on a position's code alone (five bytes of context and the
+byte itself), so it is worked out once for each distinct code. The HOT_CODES most frequent codes go to the tasks as a
+hash table; that is a cache and decides nothing. The codes of a document that the cache lacks meet the orders' tables
+in joins, longest context first.
 
-Beside it stands a smoothed unigram score over words. Word counts are a table of any size: the at most HOT_WORDS most
-frequent words go to the tasks as a broadcast dictionary, and the few remaining words of each document meet the table
-in a join.
+Beside it stands a smoothed unigram score over words. Word counts are a table of any size too: the HOT_WORDS most
+frequent words go to the tasks as a dictionary, and the few remaining words of each document meet the table in a join.
 """
 
 from __future__ import annotations
@@ -20,17 +20,18 @@ from __future__ import annotations
 import secrets
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm.common import fold_of, stored, whole_text
 
-#: Parameters: the trie's order, contexts that are kept of each order, words that are broadcast, the longest of those in bytes.
-ORDER, NODES, HOT_WORDS, HOT_BYTES = 5, 24_576, 100_000, 64
-SMOOTHING = 0.1
+ORDER, SMOOTHING = 5, 0.1
+#: Bounds of what is broadcast (both are caches): codes, words, and the bytes beyond which a word goes by its digest.
+HOT_CODES, HOT_WORDS, HOT_BYTES = 1 << 20, 100_000, 64
 #: A byte that no UTF-8 text holds: stands before a text as its context and after it as its end.
 MARK = b"\xff"
 #: Positions that are scored and counted at once; words and codes a task holds before it sends some on.
@@ -39,26 +40,38 @@ SCORED, COUNTED, HELD_WORDS, HELD = 1 << 18, 1 << 20, 300_000, 500_000
 DOCS = 500
 
 
-def _slices(texts: list[bytes], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Runs of whole texts as codes (five bytes of context and the byte itself) with each text's number of codes."""
-    part, size = [], 0
+def _pieces(texts: list[bytes], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of texts as codes, with the texts that they belong to and each one's number of codes.
+
+    A long text is cut; every piece begins with the five bytes before it.
+    """
+    parts, owners, size = [], [], 0
+
+    def codes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        raw = np.frombuffer(b"".join(parts), dtype=np.uint8)
+        out = raw[: len(raw) - ORDER].astype(np.int64)
+        for j in range(1, ORDER + 1):
+            out <<= 8
+            out |= raw[j : len(raw) - ORDER + j]
+        lengths = np.array([len(p) - ORDER for p in parts])
+        # The codes at a seam between pieces belong to neither.
+        keep = np.ones(len(out), dtype=bool)
+        seams = np.cumsum(lengths + ORDER)[:-1] - ORDER
+        for j in range(ORDER):
+            keep[seams + j] = False
+        return out[keep], np.array(owners), lengths
+
     for k, text in enumerate(texts):
-        part.append(text)
-        size += len(text) + 1
-        if size >= most or k == len(texts) - 1:
-            raw = np.frombuffer(b"".join(MARK * ORDER + t + MARK for t in part), dtype=np.uint8)
-            codes = raw[: len(raw) - ORDER].astype(np.int64)
-            for j in range(1, ORDER + 1):
-                codes <<= 8
-                codes |= raw[j : len(raw) - ORDER + j]
-            lengths = np.array([len(t) + 1 for t in part])
-            # The codes at a seam between texts belong to neither.
-            keep = np.ones(len(codes), dtype=bool)
-            seams = np.cumsum(lengths + ORDER)[:-1] - ORDER
-            for j in range(ORDER):
-                keep[seams + j] = False
-            yield codes[keep], lengths
-            part, size = [], 0
+        whole = MARK * ORDER + text + MARK
+        for i in range(0, len(whole) - ORDER, most):
+            parts.append(whole[i : i + most + ORDER])
+            owners.append(k)
+            size += len(parts[-1]) - ORDER
+            if size >= most:
+                yield codes()
+                parts, owners, size = [], [], 0
+    if parts:
+        yield codes()
 
 
 def _merged(codes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +107,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [t.encode("utf-8", "replace").lower() for t in batch.column(0).to_pylist()]
         for text in texts:
             words.update(text.split())
-        parts += [_merged(codes) for codes, _ in _slices(texts, COUNTED)]
+        parts += [_merged(codes) for codes, _, _ in _pieces(texts, COUNTED)]
         if sum(len(c) for c, _ in parts) > 2 * HELD:
             parts = joined()
         if len(words) > HELD_WORDS:
@@ -120,129 +133,151 @@ def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield whole.slice(i, DOCS)
 
 
-def _predictions(counts: np.ndarray, below_counts: np.ndarray, below_rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Predictions of contexts and, for symbols they haven't seen, what lower orders make of them (else 0).
+def _suffix(context: Column, order: int) -> Column:
+    """The last `order` bytes of a context."""
+    return context.bitwiseAND((1 << 8 * order) - 1)
 
-    below_counts, below_rest: the counts and that rest of each context's suffix.
-    """
-    seen = counts > 0
-    total, distinct = counts.sum(1, keepdims=True), seen.sum(1, keepdims=True)
-    left = np.where(seen, 0, below_counts)
-    left_total, left_distinct = left.sum(1, keepdims=True), (left > 0).sum(1, keepdims=True)
-    mass = np.maximum(left_total + left_distinct, 1)
-    lower = np.where(left_distinct > 0, np.where(left > 0, left / mass, np.where(below_counts > 0, 0, below_rest * left_distinct / mass)), below_rest)
-    rest = np.where(seen, 0.0, lower)
-    return np.where(seen, counts / (total + distinct), rest * distinct / (total + distinct)), rest
 
+def trie_levels(codes: DataFrame) -> list[DataFrame]:
+    """For the orders 0 to ORDER: context, symbols (symbol, n), total, distinct, mass, fresh. codes: code, n.
 
-class Trie:
-    """log10 predictions of every context kept, a row each, and the way from a context to its row.
-
-    levels: for the orders 2 to ORDER the codes (context and symbol) with their counts, of the contexts that are kept;
-    order two is complete. Columns are the bytes that training texts hold, and one for all others.
+    mass and fresh: with this context's symbols excluded, the counts and distinct symbols of its suffix together, and
+    those distinct symbols alone. A context has at most 256 symbols, and a suffix at most 256 contexts.
     """
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
-        codes, counts = levels[0]
-        held = np.unique(codes & 255)
-        self.width = len(held) + 1
-        self.column = np.full(256, len(held), dtype=np.int64)
-        self.column[held] = np.arange(len(held))
-        others = 256 - len(held)
-        c0 = np.zeros((1, self.width))
-        np.add.at(c0[0], self.column[codes & 255], counts)
-        rest0 = np.zeros((1, self.width))
-        rest0[0, -1] = 1 / max(1, others)
-        escape = len(held) if others else 0
-        p0 = np.where(c0 > 0, c0, rest0 * escape) / (c0.sum() + escape) if len(held) else np.full((1, self.width), 1 / 256)
-        rows, below = [p0], (c0, rest0)
-        contexts = np.array([0])
-        self.first, self.child = [0], []
-        for order, (codes, counts) in enumerate([_merged(codes & 0xFFFF, counts), *levels], 1):
-            codes, counts = _merged(codes, counts)
-            own = np.unique(codes >> 8)
-            suffix = np.searchsorted(contexts, own & ((1 << 8 * (order - 1)) - 1))
-            kept = order < ORDER
-            c_all = np.zeros((len(own) if kept else 0, self.width), dtype=np.float32)
-            rest_all = np.zeros_like(c_all)
-            made = np.zeros((len(own), self.width), dtype=np.float32)
-            for i in range(0, len(own), 2048):
-                part = own[i : i + 2048]
-                lo, hi = np.searchsorted(codes, [part[0] << 8, (part[-1] + 1) << 8])
-                c = np.zeros((len(part), self.width))
-                c[np.searchsorted(part, codes[lo:hi] >> 8), self.column[codes[lo:hi] & 255]] = counts[lo:hi]
-                at = suffix[i : i + 2048]
-                p, rest = _predictions(c, below[0][at].astype(np.float64), below[1][at].astype(np.float64))
-                made[i : i + 2048] = np.log10(np.maximum(p, 1e-37))
-                if kept:
-                    c_all[i : i + 2048], rest_all[i : i + 2048] = c, rest
-            child = np.full((max(1, len(contexts)), self.width + 1), -1, dtype=np.int32)
-            # A context begins with a byte that training texts hold, or with the mark before a text.
-            child[suffix, self._before(own >> (8 * (order - 1)))] = np.arange(len(own))
-            self.child.append(child)
-            self.first.append(self.first[-1] + len(contexts))
-            rows.append(made)
-            contexts, below = own, (c_all, rest_all)
-        rows[0] = np.log10(np.maximum(p0, 1e-37)).astype(np.float32)
-        self.rows = np.concatenate(rows)
-
-    def _before(self, byte: np.ndarray) -> np.ndarray:
-        return np.where(byte == 255, self.width, self.column[byte])
-
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text and its end."""
-        out, flat = [], self.rows.ravel()
-        for codes, lengths in _slices(texts, SCORED):
-            node, row = np.zeros(len(codes), dtype=np.int32), np.zeros(len(codes), dtype=np.int64)
-            for order, child in enumerate(self.child, 1):
-                down = child.ravel()[node * (self.width + 1) + self._before((codes >> (8 * order)) & 255)]
-                down = np.where(node < 0, -1, down) if order > 1 else down
-                row = np.where(down >= 0, down + self.first[order], row)
-                node = down
-            logs = flat[row * self.width + self.column[codes & 255]]
-            out.append(np.add.reduceat(logs.astype(np.float64), np.cumsum(lengths) - lengths))
-        return np.concatenate(out) if out else np.array([])
-
-
-_tries: dict[int, Trie] = {}
-
-
-def _trie(key: int, levels: list) -> Trie:
-    """The worker's trie, made once of the counts."""
-    if key not in _tries:
-        _tries.clear()
-        _tries[key] = Trie(levels)
-    return _tries[key]
-
-
-def _floor(histogram: list, most: int) -> int:
-    """The least count such that at most `most` entries have it or more. histogram: count, entries."""
-    total = 0
-    for n, entries in sorted(histogram, reverse=True):
+    levels: list[DataFrame] = []
+    own = [codes]
+    for order in range(ORDER - 1, -1, -1):
+        own.append(stored(own[-1].groupBy(_suffix(F.col("code"), order + 1).alias("code")).agg(F.sum("n").alias("n"))))
+    for order, counted in enumerate(reversed(own)):
+        at = counted.select(F.shiftright("code", 8).alias("context"), F.struct(F.col("code").bitwiseAND(255).cast("int").alias("symbol"), "n").alias("seen"))
+        level = at.groupBy("context").agg(F.collect_list("seen").alias("symbols"), F.sum("seen.n").alias("total"), F.count(F.lit(1)).alias("distinct"))
+        if order:
+            below = levels[-1].select(F.col("context").alias("suffix"), F.col("symbols").alias("wider"), F.col("total").alias("total_below"), F.col("distinct").alias("distinct_below"))
+            seen = F.transform("symbols", lambda s: s["symbol"])
+            excluded = F.aggregate("wider", F.lit(0).cast("long"), lambda a, w: a + F.when(F.array_contains(seen, w["symbol"]), w["n"]).otherwise(F.lit(0)))
+            fresh = F.col("distinct_below") - F.col("distinct")
+            level = level.withColumn("suffix", _suffix(F.col("context"), order - 1)).join(F.broadcast(below) if order <= 2 else below, "suffix")
+            level = level.select("context", "symbols", "total", "distinct", (F.col("total_below") - excluded + fresh).alias("mass"), fresh.alias("fresh"))
+        else:
+            level = level.withColumns({"mass": F.lit(None).cast("long"), "fresh": F.lit(None).cast("long")})
+        levels.append(stored(level))
+    return levels
+
+
+def predictions(asked: DataFrame, levels: list[DataFrame], alphabet: int) -> DataFrame:
+    """code, log: the trie's log10 prediction of every asked code. asked: code, once each; alphabet: distinct bytes seen."""
+    symbol = F.col("code").bitwiseAND(255)
+    state = asked.withColumns({"log": F.lit(None).cast("double"), "so_far": F.lit(None).cast("double"), "mass": F.lit(None).cast("long"), "fresh": F.lit(None).cast("long")})
+    for order in range(ORDER, -1, -1):
+        level = levels[order].select(F.col("context").alias("at"), "symbols", "total", "distinct", F.col("mass").alias("mass_below"), F.col("fresh").alias("fresh_below"))
+        # Codes that are done ask for contexts that there are none of, each for its own: they don't meet in one task.
+        context = F.when(F.col("log").isNull(), _suffix(F.shiftright("code", 8), order)).otherwise(-1 - F.col("code"))
+        # By construction there are at most 256 contexts of order one, and one of order zero.
+        met = state.withColumn("ask", context).join(F.broadcast(level) if order <= 1 else level, F.col("ask") == F.col("at"), "left")
+        n = F.get(F.filter("symbols", lambda s: s["symbol"] == symbol), 0)["n"]
+        first, found = F.col("so_far").isNull(), F.col("at").isNotNull()
+        here = F.when(first, F.log10(n / (F.col("total") + F.col("distinct")))).otherwise(F.col("so_far") + F.log10(n / F.col("mass")))
+        escape = F.when(first, F.log10(F.col("distinct") / (F.col("total") + F.col("distinct")))).otherwise(F.col("so_far") + F.when(F.col("fresh") > 0, F.log10(F.col("fresh") / F.col("mass"))).otherwise(0.0))
+        state = met.select(
+            "code", F.coalesce("log", F.when(n.isNotNull(), here)).alias("log"), F.when(found, escape).otherwise(F.col("so_far")).alias("so_far"),
+            F.when(found, F.col("mass_below")).otherwise(F.col("mass")).alias("mass"), F.when(found, F.col("fresh_below")).otherwise(F.col("fresh")).alias("fresh"),
+        )
+    return state.select("code", F.coalesce("log", F.coalesce("so_far", F.lit(0.0)) - F.log10(F.lit(float(256 - alphabet)))).alias("log"))
+
+
+class CodeTable:
+    """log10 predictions by code, in open addressing."""
+
+    def __init__(self, codes: np.ndarray, logs: np.ndarray):
+        self.bits = max(4, int(np.ceil(np.log2(max(1, len(codes)) * 3))))
+        size = 1 << self.bits
+        self.codes, self.logs = np.full(size, -1, dtype=np.int64), np.zeros(size, dtype=np.float32)
+        left, at = np.arange(len(codes)), self._start(codes)
+        self.steps = 0
+        while len(left):
+            free = self.codes[at] == -1
+            self.codes[at[free]] = codes[left[free]]
+            put = self.codes[at] == codes[left]
+            self.logs[at[put]] = logs[left[put]]
+            left, at = left[~put], (at[~put] + 1) & (size - 1)
+            self.steps += 1
+
+    def _start(self, codes: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The logs (0 where there is none) and the places of the codes that are not in the table."""
+        at = self._start(codes)
+        held = self.codes[at]
+        logs = np.where(held == codes, self.logs[at], np.float32(0))
+        open_ = np.flatnonzero((held != codes) & (held != -1))
+        missed = [np.flatnonzero(held == -1)]
+        at = at[open_]
+        for _ in range(1, self.steps + 1):
+            if not len(open_):
+                break
+            at = (at + 1) & (len(self.codes) - 1)
+            held, own = self.codes[at], codes[open_]
+            found = held == own
+            logs[open_[found]] = self.logs[at[found]]
+            missed.append(open_[held == -1])
+            on = ~found & (held != -1)
+            open_, at = open_[on], at[on]
+        return logs, np.sort(np.concatenate([*missed, open_]))
+
+    def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Each text's sum over the codes in the table; for the others text, code and how often, in order of the texts."""
+        sums, rest = np.zeros(len(texts)), []
+        for codes, owners, lengths in _pieces(texts, SCORED):
+            logs, missed = self.find(codes)
+            ends = np.cumsum(lengths)
+            np.add.at(sums, owners, np.add.reduceat(logs.astype(np.float64), ends - lengths))
+            rest.append((owners[np.searchsorted(ends, missed, side="right")], codes[missed]))
+        owner, code = (np.concatenate(x) for x in zip(*rest)) if rest else (np.array([], dtype=np.int64),) * 2
+        order = np.lexsort((code, owner))
+        owner, code = owner[order], code[order]
+        first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (code[1:] != code[:-1])])) if len(code) else np.array([], dtype=np.int64)
+        return sums, owner[first], code[first], np.diff(np.append(first, len(code)))
+
+
+_tables: dict[int, tuple[CodeTable, dict, dict]] = {}
+
+
+def _table(key: int, shared) -> tuple[CodeTable, dict, dict]:
+    """The worker's tables, made once of what was broadcast."""
+    if key not in _tables:
+        codes, logs, words, long = shared.value
+        _tables.clear()
+        _tables[key] = CodeTable(codes, logs), words, long
+    return _tables[key]
+
+
+def _frequent(counted: DataFrame, most: int) -> DataFrame:
+    """The rows with the largest n, at most `most`; n is told apart to a quarter of a power of two."""
+    step = F.floor(F.log2("n") * 4)
+    total, least = 0, 1 << 20
+    for at, entries in sorted(((r[0], r[1]) for r in counted.groupBy(step.alias("at")).count().collect()), reverse=True):
         total += entries
         if total > most:
-            return n + 1
-    return 1
+            break
+        least = at
+    return counted.where(step >= least)
 
 
-def _level(codes: DataFrame, order: int, nodes: int, floor: int) -> tuple[tuple[np.ndarray, np.ndarray], int]:
-    """Codes and counts of the contexts of an order that are kept, and the least count of those.
-
-    A context is kept only if its suffix is: the floor never falls from order to order.
-    """
-    own = codes.groupBy(F.col("code").bitwiseAND((1 << 8 * (order + 1)) - 1).alias("code")).agg(F.sum("n").alias("n")).withColumn("context", F.shiftright("code", 8))
-    met = own.groupBy("context").agg(F.sum("n").alias("met"))
-    floor = max(floor, _floor([tuple(r) for r in met.groupBy("met").count().collect()], nodes))
-    kept = (own if floor <= 1 else own.join(met.where(F.col("met") >= floor), "context", "left_semi")).select("code", "n").toArrow()
-    return (kept.column("code").to_numpy(), kept.column("n").to_numpy()), floor
+_SCORED = pa.schema([
+    ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("n_hot", pa.int64()), ("base_hot", pa.float64()),
+    ("score_hot", pa.float64()), ("rare", pa.list_(pa.binary())), ("codes", pa.list_(pa.int64())), ("times", pa.list_(pa.int64())),
+])
 
 
-def lm_score(docs: DataFrame, folds: int = 10, nodes: int = NODES, hot_words: int = HOT_WORDS) -> DataFrame:
+def lm_score(docs: DataFrame, folds: int = 10, hot_codes: int = HOT_CODES, hot_words: int = HOT_WORDS, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every document.
 
     Learns from the documents whose id's crc32 modulo `folds` is not 0 (a null id: from it too). Null counts as the
     empty text: one token, the end. Without training documents every word is unknown and each byte has 1/256.
     Repeated rows are learnt from and scored each; an empty table gives no rows; other columns are not read.
+    `hot_codes`, `hot_words` and `hot_bytes` bound what is broadcast and change no score.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold_of(F.col("doc_id"), folds) == 0).alias("held_out"), whole_text().alias("text"))
     counted = docs.where("NOT held_out").select("text").mapInArrow(_counted, "word binary, code long, n long")
@@ -253,47 +288,61 @@ def lm_score(docs: DataFrame, folds: int = 10, nodes: int = NODES, hot_words: in
     tokens, vocabulary = total + training, distinct + (training > 0)
     scale = tokens + SMOOTHING * (vocabulary + 1)
 
-    codes = counts.where("code IS NOT NULL").select("code", "n")
-    levels, floor = [], 1
-    for order in range(2, ORDER + 1):
-        level, floor = _level(codes, order, nodes if order > 2 else 1 << 16, floor)
-        levels.append(level)
-    short = words.where(F.octet_length("word") <= HOT_BYTES)
-    common = _floor([tuple(r) for r in short.groupBy("n").count().collect()], hot_words)
-    hot = {bytes(r["word"]): r["n"] for r in short.where(F.col("n") >= common).toLocalIterator()}
-    model = docs.sparkSession.sparkContext.broadcast((levels, {w: float(np.log10((n + SMOOTHING) / scale)) for w, n in hot.items()}))
+    levels = trie_levels(counts.where("code IS NOT NULL").select("code", "n"))
+    alphabet = levels[0].agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
+    seen = levels[ORDER].select("context", (F.col("total") + F.col("distinct")).alias("mass"), F.explode("symbols").alias("s"))
+    top = _frequent(seen.select(F.shiftleft("context", 8).bitwiseOR(F.col("s.symbol")).alias("code"), F.col("s.n").alias("n"), "mass"), hot_codes)
+    hot = top.select("code", F.log10(F.col("n") / F.col("mass")).cast("float").alias("log")).toArrow()
+    short, long = {}, {}
+    log_of = F.log10((F.col("n") + SMOOTHING) / scale)
+    for r in _frequent(words, hot_words).select(F.when(F.octet_length("word") <= hot_bytes, F.col("word")).alias("word"), F.when(F.octet_length("word") > hot_bytes, F.unhex(F.md5("word"))).alias("digest"), log_of.alias("log")).toLocalIterator():
+        (short if r["digest"] is None else long)[bytes(r["word"] if r["digest"] is None else r["digest"])] = r["log"]
+    model = docs.sparkSession.sparkContext.broadcast((hot.column("code").to_numpy(), hot.column("log").to_numpy(), short, long))
 
     key = secrets.randbits(62)
     end = float(np.log10((training + SMOOTHING) / scale))
-    schema = pa.schema([
-        ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("n_hot", pa.int64()),
-        ("base_hot", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.binary())),
-    ])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, logs = model.value
-        trie, get = _trie(key, levels), logs.get
+        table, short, long = _table(key, model)
+        get = short.get
         for batch in _few(batches):
             texts = [t.encode("utf-8", "replace").lower() for t in batch.column("text").to_pylist()]
             n, known, base, rare = [], [], [], []
             for text in texts:
                 own = text.split()
                 values = list(map(get, own))
-                missed = [w for w, v in zip(own, values) if v is None] if None in values else []
+                missed = []
+                if None in values:
+                    for i, word in enumerate(own):
+                        if values[i] is None:
+                            if len(word) > hot_bytes:
+                                values[i] = long.get(md5(word).digest())
+                            if values[i] is None:
+                                missed.append(word)
                 n.append(len(own) + 1)
                 known.append(len(own) - len(missed) + (training > 0))
                 base.append(end + sum(v for v in values if v is not None))
                 rare.append(missed)
-            columns = [batch.column("doc_id"), batch.column("held_out"), [len(t) for t in texts], n, known, base, trie.score(texts), rare]
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+            sums, owner, code, times = table.score(texts)
+            offsets = pa.array(np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int64))) for x in (code, times)]
+            columns = [batch.column("doc_id"), batch.column("held_out"), [len(t) for t in texts], n, known, base, sums, rare, *lists]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _SCORED)], schema=_SCORED)
 
-    kind = "doc_id long, held_out boolean, n_bytes long, n_tokens long, n_hot long, base_hot double, score double, rare array<binary>"
+    kind = "doc_id long, held_out boolean, n_bytes long, n_tokens long, n_hot long, base_hot double, score_hot double, rare array<binary>, codes array<long>, times array<long>"
     rows = stored(docs.mapInArrow(scored, kind).withColumn("row", F.monotonically_increasing_id()))
     met = rows.select("row", F.explode("rare").alias("word")).join(words, "word", "left")
     log = F.log10((F.coalesce("n", F.lit(0)) + SMOOTHING) / scale)
-    rest = met.groupBy("row").agg(F.sum(log).alias("base_rest"), F.count("n").alias("n_rest"))
-    return rows.drop("rare").join(rest, "row", "left").select(
+    missed = rows.select("row", F.explode(F.arrays_zip("codes", "times")).alias("m")).select("row", F.col("m.codes").alias("code"), F.col("m.times").alias("times"))
+    told = stored(predictions(missed.select("code").distinct(), levels, alphabet))
+    # Both kinds of rest meet their row together.
+    rest = met.select("row", log.alias("base"), F.col("n").isNotNull().cast("long").alias("known"), F.lit(0.0).alias("score")).unionByName(
+        missed.join(told, "code").select("row", F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("known"), (F.col("log") * F.col("times")).alias("score"))
+    )
+    rest = rest.groupBy("row").agg(F.sum("base").alias("base_rest"), F.sum("known").alias("n_rest"), F.sum("score").alias("score_rest"))
+    score = F.col("score_hot") + F.coalesce("score_rest", F.lit(0.0))
+    return rows.drop("rare", "codes", "times").join(rest, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_hot") + F.coalesce("n_rest", F.lit(0))).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base_hot") + F.coalesce("base_rest", F.lit(0.0))).alias("base_score"), "score",
-        (-F.col("score") / F.log10(F.lit(2.0)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
+        (F.col("base_hot") + F.coalesce("base_rest", F.lit(0.0))).alias("base_score"), score.alias("score"),
+        (-score / F.log10(F.lit(2.0)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
     )

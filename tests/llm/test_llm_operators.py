@@ -163,38 +163,20 @@ def test_chain_components(spark):
     assert components.components(links.limit(0)).count() == 0
 
 
-def test_lm_base_and_trie(spark, docs, empty):
-    got = lm_score.lm_score(docs, hot_words=3, nodes=50).collect()
-    tokens = lambda t: (t or "").encode().lower().split()
-    train, n = Counter(), 0
-    for i, t in TEXTS:
-        if i is None or zlib.crc32(str(i).encode()) % 10:
-            train.update(tokens(t))
-            n += 1
-    train[None] = n
-    total, v = sum(train.values()), len(train)
-    assert len(got) == len(TEXTS) and lm_score.lm_score(empty).count() == 0
-    for row in got:
-        own = [*tokens(next(t for i, t in TEXTS if i == row.doc_id)), None]
-        base = sum(math.log10((train[w] + 0.1) / (total + 0.1 * (v + 1))) for w in own)
-        assert (row.n_tokens, row.n_known, row.train_tokens) == (len(own), sum(train[w] > 0 for w in own), total)
-        assert abs(row.base_score - base) < 1e-6 * max(1, abs(base)) and row.score < 0
-
-
-def test_ppm_exclusion():
-    random.seed(3)
-    texts = [bytes(random.choice(b"abcd ") for _ in range(random.randint(0, 60))) for _ in range(40)]
-    order, counts = lm_score.ORDER, [Counter() for _ in range(lm_score.ORDER + 1)]
-    for t in texts:
+def _brute_ppm(train, order=lm_score.ORDER):
+    """Predictions by the definition: escape by method C, symbols of longer contexts excluded."""
+    counts = [{} for _ in range(order + 1)]
+    for t in train:
         b = lm_score.MARK * order + t + lm_score.MARK
         for i in range(order, len(b)):
             for k in range(order + 1):
-                counts[k][b[i - k : i], b[i]] += 1
+                own = counts[k].setdefault(b[i - k : i], Counter())
+                own[b[i]] += 1
 
-    def brute(b, i):
+    def at(b, i):
         excluded, p = set(), 1.0
         for k in range(order, -1, -1):
-            own = {s: n for (c, s), n in counts[k].items() if c == b[i - k : i] and s not in excluded}
+            own = {s: n for s, n in counts[k].get(b[i - k : i], {}).items() if s not in excluded}
             if own:
                 t, d = sum(own.values()), len(own)
                 if b[i] in own:
@@ -202,17 +184,63 @@ def test_ppm_exclusion():
                 p, excluded = p * d / (t + d), excluded | set(own)
         return p / (256 - len(excluded))
 
-    levels = []
-    for k in range(2, order + 1):
-        codes = {int.from_bytes(c + bytes([s]), "big"): n for (c, s), n in counts[k].items()}
-        at = np.array(sorted(codes))
-        levels.append((at, np.array([codes[x] for x in at])))
-    asked = [*texts[:5], b"", b"abcdz", b"\x00abc"]
-    for text, score in zip(asked, lm_score.Trie(levels).score(asked)):
+    def score(text):
         b = lm_score.MARK * order + text + lm_score.MARK
-        assert abs(sum(math.log10(brute(b, i)) for i in range(order, len(b))) - score) < 1e-3
-    nothing = [(np.array([], dtype=np.int64), np.array([], dtype=np.int64))] * 4
-    assert abs(lm_score.Trie(nothing).score([b"ab"])[0] - 3 * math.log10(1 / 256)) < 1e-5
+        return sum(math.log10(at(b, i)) for i in range(order, len(b)))
+
+    return score, counts
+
+
+def _trains(i):
+    return i is None or zlib.crc32(str(i).encode()) % 10 != 0
+
+
+@pytest.mark.parametrize("hot_codes,hot_words,hot_bytes", [(50, 3, 4), (0, 0, 64), (1 << 20, 100_000, 64)])
+def test_lm_score(spark, docs, empty, hot_codes, hot_words, hot_bytes):
+    got = lm_score.lm_score(docs, hot_codes=hot_codes, hot_words=hot_words, hot_bytes=hot_bytes).collect()
+    tokens = lambda t: (t or "").encode().lower().split()
+    own_texts = [(t or "").encode().lower() for i, t in TEXTS if _trains(i)]
+    train, n = Counter(w for t in own_texts for w in t.split()), len(own_texts)
+    train[None] = n
+    total, v = sum(train.values()), len(train)
+    ppm, _ = _brute_ppm(own_texts)
+    assert len(got) == len(TEXTS)
+    for row in got:
+        text = next(t for i, t in TEXTS if i == row.doc_id)
+        own = [*tokens(text), None]
+        base = sum(math.log10((train[w] + 0.1) / (total + 0.1 * (v + 1))) for w in own)
+        assert (row.n_tokens, row.n_known, row.train_tokens) == (len(own), sum(train[w] > 0 for w in own), total)
+        assert abs(row.base_score - base) < 1e-6 * max(1, abs(base))
+        if len(text or "") < 1000:
+            assert abs(row.score - ppm((text or "").encode().lower())) < 1e-3
+
+
+def test_lm_score_keeps_every_context(spark, empty):
+    random.seed(3)
+    texts = [(i, "".join(random.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(1500))) for i in range(60)] + [(100, ""), (101, None), (102, "zq\u00e9 \U0001f600 ab")]
+    ppm, counts = _brute_ppm([(t or "").encode() for i, t in texts if _trains(i)])
+    assert min(map(len, counts[4:])) > 24_576
+    got = lm_score.lm_score(spark.createDataFrame(texts, "doc_id long, text string"), hot_codes=5_000).collect()
+    for row in got:
+        assert abs(row.score - ppm((dict(texts)[row.doc_id] or "").encode())) < 2e-3
+    assert lm_score.lm_score(empty).count() == 0
+
+
+def test_lm_score_without_training(spark):
+    held = next(i for i in range(100) if not _trains(i))
+    row = lm_score.lm_score(spark.createDataFrame([(held, "ab")], "doc_id long, text string")).first()
+    assert abs(row.score - 3 * math.log10(1 / 256)) < 1e-5 and (row.n_known, row.train_tokens) == (0, 0)
+
+
+def test_code_pieces():
+    texts = [b"", b"abcdefghijk", b"x", b"a" * 37]
+    whole = [c.tolist() for c, _, _ in lm_score._pieces(texts, 1 << 20)][0]
+    cut, sizes = [], Counter()
+    for codes, owners, lengths in lm_score._pieces(texts, 4):
+        cut += codes.tolist()
+        for k, n in zip(owners.tolist(), lengths.tolist()):
+            sizes[k] += n
+    assert cut == whole and [sizes[k] for k in range(4)] == [len(t) + 1 for t in texts]
 
 
 def test_decontaminate(spark, docs, empty):

@@ -27,7 +27,8 @@ LIMIT = 512
 TABLE_DOCS, TABLE_SIZE, CACHE_SIZE = 2_000, 50_000, 400_000
 #: Fixed value: how a byte-level tokenizer cuts a text before its merges.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Texts of these code points only are cut here; others, where Unicode versions may differ, go to the library whole.
+#: Texts of these code points only are cut by PRE_TOKEN; others, where Unicode versions may differ, by the tokenizer's
+#: own pre-tokenizer. Either way the pieces take the look-up.
 PLAIN = r"[\x00-ɏͰ-ϿЀ-ԯ‐-‧‰-⁞₠-₿←-⇿∀-⋿一-龥ぁ-ゖァ-ヺ가-힣]*"
 
 _worker: dict = {}
@@ -53,17 +54,33 @@ class Counting:
 
     def __init__(self, path: str, table: dict[str, int], cache_size: int = CACHE_SIZE):
         self.tokenizer, self.table, self.cache, self.cache_size = _load(path), table, {}, cache_size
-        self.cut, self.plain = regex.compile(PRE_TOKEN).findall, regex.compile(PLAIN).fullmatch
-        added = self.tokenizer.get_added_tokens_decoder().values()
-        self.special = [token.content for token in added]
+        self.encoded = 0
+        self.find, self.plain = regex.compile(PRE_TOKEN).findall, regex.compile(PLAIN).fullmatch
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        # A tokenizer that rewrites texts or takes blanks into its added tokens is left to the library.
+        self.whole = self.tokenizer.normalizer is not None or any(t.lstrip or t.rstrip or t.single_word for t in added)
+        self.special = [t.content for t in added]
+        self.split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))).split if added else None
+
+    def pieces(self, text: str) -> list[str]:
+        """The pre-tokens of a text without added tokens."""
+        if self.plain(text):
+            return self.find(text)
+        return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
     def count(self, text: str) -> int:
-        # An added token inside a text is matched before anything is cut: leave such a text to the library.
-        if any(s in text for s in self.special) or not self.plain(text):
+        if self.whole:
             return _length(self.tokenizer, text)
+        if not any(s in text for s in self.special):
+            return self._looked_up(text)
+        # An added token inside a text is one token, and what stands beside it is cut by itself.
+        parts = self.split(text)
+        return len(parts) - 1 + sum(self._looked_up(part) for part in parts if part)
+
+    def _looked_up(self, text: str) -> int:
         table, cache, total = self.table.get, self.cache, 0
         misses = []
-        for piece, n in zip(pieces := self.cut(text), map(table, pieces)):
+        for piece, n in zip(pieces := self.pieces(text), map(table, pieces)):
             if n is None:
                 misses.append(piece)
             else:
@@ -74,6 +91,7 @@ class Counting:
                 if len(cache) >= self.cache_size:
                     cache.clear()
                 n = cache[piece] = _length(self.tokenizer, piece)
+                self.encoded += 1
             total += n
         return total
 

@@ -71,6 +71,24 @@ def test_token_count(spark, docs, empty):
     assert small.count(LONG[:2000]) == len(tokenizer.encode(LONG[:2000], add_special_tokens=False).ids)
 
 
+def test_token_count_looks_up_any_script(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(token_count.TOKENIZER)
+    tokenizer = Tokenizer.from_file(path)
+    random.seed(8)
+    signs = ["a", "B", " ", "  ", "\n", "\t", "'s", "7", "\u00e9", "e\u0301", "\U0001f600", "\u200b", "\u6f22", "\u0301", "!", "\u0085", "\u3000", "<|endoftext|>", "<|end", "\U0001f468\u200d\U0001f469", "\u0e01\u0e34"]
+    counting = token_count.Counting(path, {})
+    for _ in range(400):
+        text = "".join(random.choice(signs) for _ in range(random.randint(0, 30)))
+        assert counting.count(text) == len(tokenizer.encode(text, add_special_tokens=False).ids)
+    # A text with an emoji meets the table like any other: nothing is encoded anew.
+    again = "one \U0001f600 two e\u0301 <|endoftext|> three"
+    known = token_count.Counting(path, dict.fromkeys([p for part in again.split("<|endoftext|>") for p in counting.pieces(part)], 1))
+    assert known.count(again) == len(counting.pieces(again.split("<")[0])) + 1 + len(counting.pieces(again.split(">")[1])) and known.encoded == 0
+
+
 def test_mixture(spark, docs, empty):
     rows = [(i, "w " * (1 + i % 40) if i % 11 else None, None if i % 13 == 0 else f"s{min(i % 5, 2)}") for i in range(600)] + [(5, "w w w", "s1")] * 3
     table = spark.createDataFrame(rows, "doc_id long, text string, source string")

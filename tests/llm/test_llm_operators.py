@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tallyframe.llm import components, cuckoo, decontaminate, exact_dedup, language_id, license_scan, line_dedup, lm_score, mixture, simhash_dedup, token_count, toxicity
 
@@ -290,10 +291,13 @@ def test_decontaminate(spark, docs, empty):
     assert decontaminate.decontaminate(docs, bench).count() == len(TEXTS)
 
 
-def test_exact_dedup(spark, docs, tmp_path):
+@pytest.mark.parametrize("digest", [exact_dedup.sha256, lambda norm: F.substring(F.sha2(F.encode(norm, "UTF-8"), 256), 1, 1)])
+def test_exact_dedup(spark, docs, tmp_path, monkeypatch, digest):
+    """Also with a digest that texts share, and with groups that are dealt out by a salt."""
+    monkeypatch.setattr(exact_dedup, "PIECE_ROWS", 2)
     path = str(tmp_path / "d.parquet")
-    docs.write.parquet(path)
-    got = exact_dedup.exact_dedup(spark, path).collect()
+    docs.repartition(3).write.parquet(path)
+    got = exact_dedup.exact_dedup(spark, path, digest=digest).collect()
     groups = {}
     for i, t in TEXTS:
         groups.setdefault(lower(t), []).append(i)

@@ -21,7 +21,7 @@ def op2_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixture.mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "shards")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "pieces")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,10 +116,48 @@ def test_mixture(spark, docs, empty):
     again = [r.asDict() for r in mixture.mix(table.repartition(7), shards=4).collect()]
     key = lambda r: (r["doc_id"], str(r["source"]), r["size"], r["taken"])
     assert sorted(map(key, got)) == sorted(map(key, again))
-    assert all(0 <= s < 4 for r in got for s in r["shards"])
+    for r in got:
+        assert sum(p.words for p in r["pieces"]) == r["taken"] and all(0 <= p.shard < 4 and 0 <= p.start and p.start + p.words <= r["size"] for p in r["pieces"])
+        # No word of a document is drawn more often than there are epochs, nor twice in one draw.
+        assert max(Counter(w for p in r["pieces"] for w in range(p.start, p.start + p.words)).values(), default=0) <= 3
     assert mixture.mix(docs).count() == len(TEXTS) and mixture.mix(empty).count() == 0
 
 
+def test_mixture_shards_hold_what_the_leaves_say(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(mixture, "LEAST_BLOCK_WORDS", 8)
+    rows = [(i, "w " * (i % 30), ["a", "b", None][min(i % 7, 2)]) for i in range(500)]
+    sizes = spark.createDataFrame([(i, s, len(t.split()), k) for k, (i, t, s) in enumerate(rows)], "doc_id long, source string, size long, row long")
+    plan = mixture.plan_blocks(mixture.source_targets(sizes), 5)
+    drawn = mixture.draw_blocks(plan).collect()
+    for own in plan.collect():
+        mine = [d for d in drawn if d.source == own.source]
+        assert sorted(d.draw for d in mine) == list(range(own.blocks)) and sum(d.words for d in mine) == own.quota == round(own.target)
+        assert [sum(d.shard <= k for d in mine) for k in range(5)] == own.ends
+        # A block is drawn once in an epoch at most, and but for the last draw and a source's last block it is whole.
+        assert len({(d.epoch, d.block) for d in mine}) == len(mine)
+        assert all(d.words == 8 for d in mine if d.block < own.whole and d.draw < own.blocks - 1)
+        partial = [d.block for d in sorted(mine, key=lambda d: d.draw) if d.epoch == own.epochs]
+        assert len(partial) < 6 or partial != sorted(partial)
+    mixed = mixture.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), shards=5)
+    held = Counter()
+    for r in mixed.selectExpr("source", "inline(pieces)").collect():
+        held[r.source, r.draw] += r.words
+    assert held == Counter({(d.source, d.draw): d.words for d in drawn})
+    mixture.write_shards(mixed, str(tmp_path / "shards"))
+    written = spark.read.parquet(str(tmp_path / "shards"))
+    assert {r.shard: r.n for r in written.groupBy("shard").sum("words").withColumnRenamed("sum(words)", "n").collect()} == {k: sum(d.words for d in drawn if d.shard == k) for k in range(5)}
+    places = {}
+    for r in written.collect():
+        places.setdefault((r.source, r.draw), []).append(r.place)
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+
+
+def test_mixture_refuses_too_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixture, "MOST_SOURCES", 2)
+    with pytest.raises(ValueError):
+        mixture.mix(spark.createDataFrame([(i, "w", str(i)) for i in range(3)], "doc_id long, text string, source string"))
+
+
 def test_hypergeometric_tree(spark):
     quotas = spark.createDataFrame([("a", 100), ("b", 37), (None, 5), ("z", 0)], "source string, blocks long")
     got = {r.source: r.ends for r in mixture.splitting_tree(quotas, 8).collect()}

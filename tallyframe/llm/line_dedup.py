@@ -3,13 +3,16 @@
 A line's key is the line stripped of ASCII white space with A-Z lower-cased; keys of at least MIN_CHARS code points
 count. The exact table is one posting for each key and document, from which a key's reference count (documents that
 hold it) and its keeper (the largest doc_id) follow. Keys found in MIN_DOCS documents or more are frequent: they are
-dealt into shards by hash, and each shard has a cuckoo filter of its frequent keys. Inserting documents adds postings,
-deleting them takes postings away; either way only the filters of keys that become or cease to be frequent change, by
-insertion or deletion, so nothing that was dropped for a document is lost for good.
-
-To cut documents, each task asks the filters about its lines: documents without a hit are written as they are and
-never shuffled; the hit lines alone meet the exact counts in a join, which also clears away the filters' false hits.
-If the filters together outgrow FILTER_BYTES they are not broadcast and every counting line takes that join.
+dealt into shards by hash, and each shard has a cuckoo filter of its frequent keys. Inserting documents adds a segment
+of postings, deleting them hides theirs; either way only the keys of those documents are counted anew, and only the
+filters of shards where a key becomes or ceases to be frequent change, by insertion or deletion. So nothing that was
+dropped for a document is lost for good.
+
+To cut documents, a bitmap of fixed size (GATE_BITS) first lets most lines pass that no shard can hold: documents
+without any other line are written as they are and never shuffled. The remaining lines are dealt to the shards and
+asked of their filters, wherever those lie; what a filter may hold meets the exact counts in a join, which also clears
+away false hits. The few keys that hold a large share of all postings (HOT_KEYS at most) are told by a broadcast
+before that, so that no shard and no join meets them.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +29,11 @@ from tallyframe.llm.common import ASCII_SPACE, ascii_lower, stored, whole_text
 from tallyframe.llm.cuckoo import CuckooFilter
 
 MIN_CHARS, MIN_DOCS = 20, 3
-#: Frequent keys in a shard, about; the most bytes of filters that are broadcast.
-SHARD_KEYS, FILTER_BYTES = 32_768, 64 << 20
+#: Frequent keys in a shard, about; shards at least; bits of the bitmap; keys that are broadcast, at most.
+SHARD_KEYS, LEAST_SHARDS, GATE_BITS, HOT_KEYS = 32_768, 64, 1 << 26, 10_000
+#: Bits that one row of the bitmap holds: fixed by Spark's bitmap functions.
+BITMAP_BITS = 32_768
+ADDED = ("n_lines", "n_dropped", "kept")
 
 
 def lines_of(text: Column) -> Column:
@@ -43,14 +50,18 @@ def _digests(text: Column) -> Column:
 
 
 def _hash(digest: Column) -> Column:
-    """64 bits of a digest, for shards and filters."""
+    """64 bits of a digest, for shards, filters and the bitmap."""
     return F.xxhash64(digest)
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """key, doc_id: once for each counting key and document. Documents without an id count as one."""
-    held = docs.select("doc_id", F.explode(F.array_distinct(F.filter(_digests(whole_text()), lambda d: d.isNotNull()))).alias("key"))
-    return held.select("key", "doc_id")
+    """key, doc_id: once for each counting key and row. Documents without an id count as one."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array_distinct(F.filter(_digests(whole_text()), lambda d: d.isNotNull()))).alias("key")).select("key", "doc_id")
+
+
+def _counted(held: DataFrame) -> DataFrame:
+    """key, docs, keeper of the frequent keys. Rows that repeat a document count once."""
+    return held.groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("rows")).groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("keeper")).where(F.col("docs") >= MIN_DOCS)
 
 
 class LineIndex:
@@ -60,76 +71,96 @@ class LineIndex:
         self.held, self.frequent, self.filters, self.shards = held, frequent, filters, shards
 
     @classmethod
-    def build(cls, docs: DataFrame) -> LineIndex:
-        # Without deletions to come the counts are all that is needed of the postings: nothing is written of them.
-        held = postings(docs)
-        frequent = cls._count(held)
-        shards = max(1, -(-frequent.count() // SHARD_KEYS))
-        filters = stored(frequent.select(cls._shard(shards).alias("shard"), _hash(F.col("key")).alias("hash")).groupBy("shard").applyInPandas(_made, "shard int, filter binary"))
-        return cls(held, frequent, filters, shards)
+    def build(cls, docs: DataFrame, keep: bool = True) -> LineIndex:
+        """keep: the postings are written, for changes to come; else they are made from docs again when asked for."""
+        held = stored(postings(docs)) if keep else postings(docs)
+        frequent = stored(_counted(held))
+        shards = max(LEAST_SHARDS, -(-frequent.count() // SHARD_KEYS))
+        made = frequent.select(cls._shard(shards).alias("shard"), _hash(F.col("key")).alias("hash")).groupBy("shard").applyInPandas(_made, "shard int, filter binary")
+        return cls(held, frequent, stored(made), shards)
 
     @staticmethod
     def _shard(shards: int) -> Column:
         return F.pmod(F.shiftright(_hash(F.col("key")), 20), F.lit(shards)).cast("int")
 
-    @staticmethod
-    def _count(held: DataFrame) -> DataFrame:
-        # A document's row may be repeated: its partial counts tell apart by id before they are added up.
-        once = held.groupBy("key", F.coalesce("doc_id", F.lit(-1)).alias("doc_id")).agg(F.count(F.lit(1)).alias("rows"))
-        return stored(once.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("keeper")).where(F.col("docs") >= MIN_DOCS))
-
     def insert(self, docs: DataFrame) -> LineIndex:
-        """The index with these documents added."""
-        return self._changed(stored(self.held.unionByName(postings(docs))))
+        """The index with these documents added: their postings are a new segment, their keys are counted anew."""
+        added = stored(postings(docs))
+        return self._changed(self.held.unionByName(added), stored(added.select("key").distinct()))
 
     def delete(self, docs: DataFrame) -> LineIndex:
-        """The index without these documents (by doc_id)."""
-        return self._changed(stored(self.held.join(docs.select("doc_id").distinct(), "doc_id", "left_anti").select("key", "doc_id")))
-
-    def _changed(self, held: DataFrame) -> LineIndex:
-        frequent = self._count(held)
-        shard = self._shard(self.shards).alias("shard")
-        new, old = frequent.select("key", shard), self.frequent.select("key", shard)
-        grown = new.join(old, ["key", "shard"], "left_anti").select("shard", _hash(F.col("key")).alias("hash"), F.lit(1).alias("sign"))
-        changes = grown.unionByName(old.join(new, ["key", "shard"], "left_anti").select("shard", _hash(F.col("key")).alias("hash"), F.lit(-1).alias("sign")))
-        filters = stored(self.filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(_updated, "shard int, filter binary"))
-        remade = filters.where("filter IS NULL").select("shard")
-        again = frequent.select(shard, _hash(F.col("key")).alias("hash")).join(remade, "shard", "left_semi").groupBy("shard").applyInPandas(_made, "shard int, filter binary")
-        return LineIndex(held, frequent, stored(filters.where("filter IS NOT NULL").unionByName(again)), self.shards)
-
-    def _broadcast(self):
-        """The filters by shard, or None if they are too large together."""
-        size = self.filters.agg(F.coalesce(F.sum(F.octet_length("filter")), F.lit(0))).first()[0]
-        if size > FILTER_BYTES:
-            return None
-        return self.filters.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in self.filters.toLocalIterator()})
+        """The index without these documents (by doc_id; one without an id is never deleted)."""
+        ids = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct())
+        changed = stored(self.held.join(ids, "doc_id", "left_semi").select("key").distinct())
+        return self._changed(self.held.join(ids, "doc_id", "left_anti").select("key", "doc_id"), changed)
+
+    def _changed(self, held: DataFrame, keys: DataFrame) -> LineIndex:
+        """The index over `held`, which differs from the own postings in `keys` only."""
+        new = stored(_counted(held.join(keys, "key", "left_semi")))
+        old = self.frequent.join(keys, "key", "left_semi")
+        frequent = stored(self.frequent.join(keys, "key", "left_anti").unionByName(new))
+        shard, hashed = self._shard(self.shards).alias("shard"), _hash(F.col("key")).alias("hash")
+        grown = new.join(old, "key", "left_anti").select(shard, hashed, F.lit(1).alias("sign"))
+        changes = stored(grown.unionByName(old.join(new, "key", "left_anti").select(shard, hashed, F.lit(-1).alias("sign"))))
+        touched = changes.select("shard").distinct()
+        filters = stored(self.filters.join(touched, "shard", "left_semi").groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(_updated, "shard int, filter binary"))
+        full = filters.where("filter IS NULL").select("shard")
+        again = frequent.select(shard, hashed).join(full, "shard", "left_semi").groupBy("shard").applyInPandas(_made, "shard int, filter binary")
+        filters = self.filters.join(touched, "shard", "left_anti").unionByName(filters.where("filter IS NOT NULL")).unionByName(again)
+        return LineIndex(held, frequent, stored(filters), self.shards)
+
+    def _gate(self) -> np.ndarray:
+        """A bitmap of the frequent keys' hashes: GATE_BITS bits, however many keys there are."""
+        size = -(-GATE_BITS // BITMAP_BITS) * BITMAP_BITS
+        at = F.pmod(_hash(F.col("key")), F.lit(size)) + 1
+        parts = self.frequent.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+        gate = np.zeros(size // 8, dtype=np.uint8)
+        for row in parts.toLocalIterator():
+            first = (row["part"] - 1) * BITMAP_BITS // 8
+            gate[first : first + BITMAP_BITS // 8] = np.frombuffer(row["bits"], dtype=np.uint8)
+        return gate
+
+    def _hot(self) -> DataFrame:
+        """The keys that hold more than one in HOT_KEYS of the frequent keys' postings: fewer than HOT_KEYS."""
+        total = self.frequent.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
+        return F.broadcast(self.frequent.where(F.col("docs") > total / HOT_KEYS))
+
+    def _asked(self, lines: DataFrame) -> DataFrame:
+        """The lines that their shard's filter may hold. lines: row, doc_id, at, key."""
+        dealt = lines.select(self._shard(self.shards).alias("shard"), F.lit(None).cast("binary").alias("filter"), "row", "doc_id", "at", "key", _hash(F.col("key")).alias("hash"))
+        filters = self.filters.select("shard", "filter", *[F.lit(None).cast(kind).alias(name) for name, kind in (("row", "long"), ("doc_id", "long"), ("at", "int"), ("key", "binary"), ("hash", "long"))])
+        # A shard's filter comes before its lines.
+        together = dealt.unionByName(filters).repartition("shard").sortWithinPartitions("shard", F.col("filter").isNull())
+        return together.mapInArrow(_held, "row long, doc_id long, at int, key binary")
 
     def cut(self, docs: DataFrame) -> DataFrame:
-        """docs with n_lines, n_dropped and the kept text in `kept` (null stays null); all other columns stay.
+        """docs with n_lines, n_dropped and the kept text in `kept` (null stays null).
 
         A frequent key's lines stay only in its keeper. Null and empty texts are one empty line. Rows that repeat a
-        document are cut alike; a document without an id is no frequent key's keeper unless all its documents are.
+        document are cut alike; a document without an id is no frequent key's keeper. All other columns stay, and
+        columns of docs by the names of the three are replaced.
         """
-        docs = docs.withColumn("__lines", F.size(lines_of(whole_text())).cast("long")).withColumn("__digests", _digests(whole_text()))
-        shared, shards = self._broadcast(), self.shards
+        gate = docs.sparkSession.sparkContext.broadcast(self._gate())
 
         @F.pandas_udf("array<int>")
-        def asked(hashes: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            filters = {k: CuckooFilter.from_bytes(raw) for k, raw in shared.value.items()}
+        def passed(hashes: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for part in hashes:
-                yield _hits(part, filters, shards)
-
-        hashes = F.transform("__digests", lambda d: F.when(d.isNotNull(), _hash(d)).otherwise(F.lit(0)))
-        every = F.filter(F.sequence(F.lit(0), F.size("__digests") - 1), lambda i: F.col("__digests")[i].isNotNull())
-        marked = docs.withColumn("__hits", every if shared is None else asked(hashes))
-        columns = [c for c in docs.columns if not c.startswith("__")]
-        clean = marked.where(F.size("__hits") == 0).select(*columns, F.col("__lines").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), F.col("text").alias("kept"))
-        hit = stored(marked.where(F.size("__hits") > 0).withColumn("__row", F.monotonically_increasing_id()))
-        lines = hit.select("__row", F.coalesce("doc_id", F.lit(-1)).alias("doc"), F.explode("__hits").alias("at"), "__digests").select("__row", "doc", "at", F.col("__digests")[F.col("at")].alias("key"))
-        lost = lines.join(self.frequent, "key").where("doc <> keeper").groupBy("__row").agg(F.collect_list("at").alias("__lost"))
-        joined = hit.join(lost, "__row", "left").withColumn("__lost", F.coalesce("__lost", F.array().cast("array<int>")))
-        kept = F.array_join(F.filter(F.transform(lines_of(whole_text()), lambda line, i: F.when(~F.array_contains("__lost", i), line)), lambda line: line.isNotNull()), "\n")
-        cut = joined.select(*columns, F.col("__lines").alias("n_lines"), F.size("__lost").cast("long").alias("n_dropped"), F.when(F.size("__lost") > 0, kept).otherwise(F.col("text")).alias("kept"))
+                yield _passed(part, gate.value)
+
+        digests = _digests(whole_text())
+        hashes = F.transform("digests", lambda d: F.when(d.isNotNull(), _hash(d)).otherwise(F.lit(0)))
+        marked = docs.select(F.struct(*docs.columns).alias("doc"), F.size(lines_of(whole_text())).cast("long").alias("lines"), digests.alias("digests")).withColumn("hits", passed(hashes))
+        columns = [F.col("doc")[c].alias(c) for c in docs.columns if c not in ADDED]
+        clean = marked.where(F.size("hits") == 0).select(*columns, F.col("lines").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), F.col("doc.text").alias("kept"))
+        hit = stored(marked.where(F.size("hits") > 0).withColumn("row", F.monotonically_increasing_id()))
+        lines = hit.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), "digests", F.explode("hits").alias("at")).select("row", "doc_id", "at", F.col("digests")[F.col("at")].alias("key"))
+        hot = self._hot()
+        told = lines.join(hot, "key").unionByName(self._asked(lines.join(hot, "key", "left_anti")).join(self.frequent, "key").select("key", "row", "doc_id", "at", "docs", "keeper"))
+        lost = told.where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy("row").agg(F.collect_list("at").alias("lost"))
+        joined = hit.join(lost, "row", "left").withColumn("lost", F.coalesce("lost", F.array().cast("array<int>")))
+        left = F.filter(F.transform(lines_of(whole_text("doc.text")), lambda line, i: F.when(~F.array_contains("lost", i), line)), lambda line: line.isNotNull())
+        kept = F.when(F.size("lost") > 0, F.array_join(left, "\n")).otherwise(F.col("doc.text"))
+        cut = joined.select(*columns, F.col("lines").alias("n_lines"), F.size("lost").cast("long").alias("n_dropped"), kept.alias("kept"))
         return clean.unionByName(cut)
 
 
@@ -148,26 +179,42 @@ def _updated(key: tuple, old: pd.DataFrame, changes: pd.DataFrame) -> pd.DataFra
     return pd.DataFrame({"shard": pd.Series([key[0]], dtype="int32"), "filter": [raw]})
 
 
-def _hits(part: pd.Series, filters: dict[int, CuckooFilter], shards: int) -> pd.Series:
-    """For each document the places of its hashes (0: no counting line) that a filter may hold."""
+def _passed(part: pd.Series, gate: np.ndarray) -> pd.Series:
+    """For each document the places of its hashes (0: no counting line) whose bit is set."""
     sizes = part.map(len).to_numpy()
     flat = np.concatenate(part.to_list()) if len(part) else np.array([], dtype=np.int64)
     counting = np.flatnonzero(flat)
-    hashes = flat[counting].astype(np.int64)
-    shard, hit = (hashes >> 20) % shards, np.zeros(len(hashes), dtype=bool)
-    for k, own in filters.items():
-        at = np.flatnonzero(shard == k)
-        hit[at] = own.holds(hashes[at])
-    places = counting[hit]
+    bit = flat[counting].astype(np.int64) % (8 * len(gate))
+    places = counting[(gate[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0]
     starts = np.cumsum(sizes) - sizes
     document = np.searchsorted(np.cumsum(sizes), places, side="right")
     within = (places - starts[document]).astype(np.int32)
     return pd.Series(np.split(within, np.searchsorted(document, np.arange(1, len(sizes)))) if len(sizes) else [], dtype=object)
 
 
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines that the filter before them may hold. Rows come sorted by shard, a shard's filter first."""
+    shard, own = None, None
+    for batch in batches:
+        shards, filters = batch.column("shard").to_numpy(), batch.column("filter")
+        hashes = batch.column("hash").fill_null(0).to_numpy()
+        keep = np.zeros(batch.num_rows, dtype=bool)
+        ends = np.flatnonzero(np.diff(shards)) + 1
+        for first, end in zip([0, *ends.tolist()], [*ends.tolist(), len(shards)]):
+            if first < end and shards[first] != shard:
+                shard, own = shards[first], None
+            if first < end and filters[first].is_valid:
+                own = CuckooFilter.from_bytes(filters[first].as_py())
+                first += 1
+            if own is not None and first < end:
+                keep[first:end] = own.holds(hashes[first:end])
+        if keep.any():
+            yield batch.select(["row", "doc_id", "at", "key"]).filter(pa.array(keep))
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs cut by an index of themselves; see LineIndex.cut."""
-    return LineIndex.build(docs).cut(docs)
+    return LineIndex.build(docs, keep=False).cut(docs)
 
 
 ORACLE = """

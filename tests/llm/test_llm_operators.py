@@ -365,25 +365,76 @@ def _lines(rows):
     for i, t in rows:
         for line in (t or "").split("\n"):
             if len(key(line)) >= 20:
-                holders.setdefault(key(line), set()).add(-1 if i is None else i)
-    lost = {k: max(v) for k, v in holders.items() if len(v) >= 3}
+                holders.setdefault(key(line), set()).add(i)
+    lost = {k: max(i for i in v if i is not None) for k, v in holders.items() if len(v) >= 3}
     return [(i, [line for line in (t or "").split("\n") if lost.get(key(line), i) == i]) for i, t in rows]
 
 
+def _lined(spark, n=150):
+    """Documents of which each holds lines of many others; ids from -3 on, one without."""
+    random.seed(5)
+    say = lambda k: f"this is the line number {k} of the book"
+    rows = [(i, "\n".join(say(random.choice([random.randint(0, 9), random.randint(0, 200), 5000 + (i or -9)])) for _ in range(6))) for i in [None, *range(-3, n)]]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def _cut(index, table):
+    return sorted(((r.doc_id is not None, r.doc_id or 0, r.kept or "") for r in index.cut(table).collect()))
+
+
+def _expected(rows):
+    return sorted((i is not None, i or 0, "\n".join(kept)) for i, kept in _lines(rows))
+
+
 def test_line_dedup(docs, empty):
-    got = sorted(((r.doc_id if r.doc_id is not None else -1, r.kept or "", r.n_lines) for r in line_dedup.dedup_lines(docs).collect()))
-    assert got == sorted((-1 if i is None else i, "\n".join(kept), len((next(t for j, t in TEXTS if j == i) or "").split("\n"))) for i, kept in _lines(TEXTS))
+    got = sorted(((r.doc_id is not None, r.doc_id or 0, r.kept or "", r.n_lines) for r in line_dedup.dedup_lines(docs).collect()))
+    assert got == sorted((i is not None, i or 0, "\n".join(kept), len((next(t for j, t in TEXTS if j == i) or "").split("\n"))) for i, kept in _lines(TEXTS))
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
-def test_line_dedup_is_reversible(spark, docs):
-    table = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
-    rows = [(i, t) for i, t in TEXTS if i is not None]
-    index = line_dedup.LineIndex.build(table.where("doc_id <> 8"))
-    for change, now in ((index.insert(table.where("doc_id = 8")), rows), (index.delete(table.where("doc_id = 5")), [r for r in rows if r[0] not in (5, 8)])):
-        ids = [i for i, _ in now]
-        got = {r.doc_id: r.kept or "" for r in change.cut(table.where(table.doc_id.isin(ids))).collect()}
-        assert got == {i: "\n".join(kept) for i, kept in _lines(now)}
+@pytest.mark.parametrize("gate,hot,keys", [(8, 3, 4), (64, 1 << 40, 2), (1 << 26, 10_000, 32_768)])
+def test_line_dedup_by_shards(spark, monkeypatch, gate, hot, keys):
+    """The same with a bitmap that lets all lines through, with or without broadcast keys, with shards of a few bytes."""
+    rows, table = _lined(spark)
+    for name, value in (("GATE_BITS", gate), ("HOT_KEYS", hot), ("SHARD_KEYS", keys), ("LEAST_SHARDS", 3)):
+        monkeypatch.setattr(line_dedup, name, value)
+    index = line_dedup.LineIndex.build(table)
+    assert keys > 100 or index.shards > 10
+    if gate == 8:
+        monkeypatch.setattr(index, "_gate", lambda: np.full(8, 255, dtype=np.uint8))
+    assert _cut(index, table) == _expected(rows)
+
+
+def test_line_dedup_is_reversible(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 8)
+    monkeypatch.setattr(line_dedup, "LEAST_SHARDS", 2)
+    rows, table = _lined(spark, 60)
+    index = line_dedup.LineIndex.build(table.where("doc_id IS NULL OR doc_id < 40"))
+    before = {r.shard: bytes(r.filter) for r in index.filters.collect()}
+    grown = index.insert(table.where("doc_id = 40"))
+    after = {r.shard: bytes(r.filter) for r in grown.filters.collect()}
+    assert sum(before.get(k) != v for k, v in after.items()) < len(after)  # one document leaves other shards alone
+    grown = grown.insert(table.where("doc_id > 40"))
+    assert _cut(grown, table) == _expected(rows)
+    shrunk = grown.delete(table.where("doc_id % 3 = 0"))
+    left = [(i, t) for i, t in rows if i is None or i % 3]
+    assert _cut(shrunk, table.where("doc_id IS NULL OR doc_id % 3 <> 0")) == _expected(left)
+    assert _cut(shrunk.insert(table.where("doc_id % 3 = 0")), table) == _expected(rows)
+
+
+def test_line_dedup_remakes_a_full_filter(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LEAST_SHARDS", 1)
+    rows, table = _lined(spark, 200)
+    index = line_dedup.LineIndex.build(table.where("doc_id < 6")).insert(table.where("doc_id IS NULL OR doc_id >= 6"))
+    assert _cut(index, table) == _expected(rows)
+
+
+def test_line_dedup_keeps_columns(spark):
+    rows, table = _lined(spark, 20)
+    odd = table.selectExpr("doc_id", "text", "1 AS lines", "2 AS hits", "'x' AS kept", "3 AS n_lines", "4 AS `__row`", "5 AS row", "6 AS doc")
+    out = line_dedup.dedup_lines(odd)
+    assert sorted(out.columns) == sorted(["doc_id", "text", "lines", "hits", "__row", "row", "doc", "n_lines", "n_dropped", "kept"])
+    assert {(r.lines, r.hits, r["__row"], r.row, r.doc) for r in out.collect()} == {(1, 2, 4, 5, 6)}
 
 
 def test_cuckoo_filter():

@@ -1,7 +1,7 @@
 """Signature rules of the licence scan.
 
 A rule is (priority, label, keyword, regex) over a text's lower-cased words joined by single blanks. Priority 1 is a
-machine-readable tag, 2 the wording of a grant or notice, 3 a licence's full name or address, 4 a bare mention. Only
+machine-readable tag, 2 the wording of a grant, notice or clause, 3 a licence's full name or address, 4 a bare mention. Only
 texts that hold the keyword as a word are matched against the rule: every match holds one of the words that the
 keyword names (a/b: either; a*: any word that begins so).
 """
@@ -96,6 +96,92 @@ proprietary | unauthorized | unauthorized (?:copying|reproduction|distribution|u
 proprietary | permission | (?:may not|must not) be (?:copied|reproduced|distributed) .{0,60}?without (?:the )?(?:prior )?(?:express )?(?:written )?permission
 """
 
+#: Clauses by which a licence's own text is known: label, keyword, regex.
+CLAUSES = """
+mit | noninfringement | warranties of merchantability fitness for a particular purpose and noninfringement
+mit | deal | to deal in the software without restriction including without limitation the rights to use copy modify
+mit | persons | to permit persons to whom the software is furnished to do so
+mit | holders | in no event shall the authors or copyright holders be liable for any claim damages or other liability
+bsd | provided | this software is provided by the (?:copyright holders and contributors|authors?|regents and contributors) as is
+bsd | procurement | procurement of substitute goods or services loss of use data or profits or business interruption
+bsd | university | neither the name of the university nor the names of its contributors
+bsd | materials | in the documentation and or other materials provided with the distribution
+bsd | regents | copyright (?:.{1,40}? )?the regents of the university of california
+bsd | beerware/beer | (?:the )?beer ?ware license|buy me a beer in return
+isc | disclaims | the author disclaims all warranties with regard to this software including all implied warranties
+isc | disclaims | (?:isc|internet systems consortium) disclaims all warranties with regard to this software
+zlib | misrepresented | the origin of this software must not be misrepresented
+zlib | notice | this notice may not be removed or altered from any source distribution
+boost | executable | unless such copies or derivative works are solely in the form of machine executable object code
+apache | agreed | unless required by applicable law or agreed to in writing software distributed under the license
+apache | warranties | distributed on an as is basis without warranties or conditions of any kind either express or implied
+apache | notice | if the work includes a notice text file as part of its distribution
+apache | perpetual | grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable (?:copyright|patent|except as stated in this section patent) license
+apache | inclusion | any contribution intentionally submitted for inclusion in the work
+apache | contributions | submission of contributions unless you explicitly state otherwise
+gpl | merchantability | without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license
+gpl | copyleft | (?:the gnu general public license is a free )?copyleft license for software and other kinds of works
+gpl | foundation | write to the free software foundation inc (?:51|59|675) \\S+ (?:\\S+ ){0,4}(?:fifth|temple|mass)\\S*
+gpl | redistribute | you may redistribute (?:it|this program) under (?:certain conditions|the terms of the gpl)
+gpl | derived | you must cause any work that you distribute or publish that in whole or in part contains or is derived from the program
+gpl | corresponding | accompany it with the complete corresponding machine readable source code
+gpl | conveying | conveying (?:verbatim copies|modified source versions|non source forms)
+gpl | tivoization/installation | installation information for a user product
+gpl | everyone | everyone is permitted to copy and distribute verbatim copies of this license document
+gpl | classpath/statically | classpath exception|linking this library statically or dynamically with other modules
+lgpl | library | this library is free software you can redistribute it and or modify it
+lgpl | derivative | a program that contains no derivative of any portion of the library but is designed to work with the library
+lgpl | combined | a combined work is a work produced by combining or linking an application with the library
+agpl | remotely | offer all users interacting with it remotely through a computer network
+agpl | network | remote network interaction use with the gnu general public license
+mpl | covered | covered software is provided under this license on an as is basis
+mpl | incompatible | this source code form is incompatible with secondary licenses
+mpl | larger | you may create and distribute a larger work under terms of your choice
+mpl | basis | software distributed under the license is distributed on an as is basis without warranty of any kind either express or implied see the license for the specific language
+epl | accompanying | the accompanying program is provided under the terms of this eclipse public license
+epl | secondary | secondary licenses when the following conditions for such availability set forth in the eclipse public license
+cddl | header | do not alter or remove copyright notices or this file header
+cddl | brackets | fields enclosed by brackets (?:.{1,80}? )?replaced with your own identifying information
+eupl | licence | the work is provided under the terms of this european union public licence
+artistic | charge | you may charge a reasonable copying fee for any distribution of this package
+artistic | package | the standard version of the package|modified version of the package
+unlicense | anyone | anyone is free to copy modify publish use compile sell or distribute this software
+unlicense | heirs | for the benefit of the public at large and to the detriment of our heirs and successors
+wtfpl | fuck | you just do what the fuck you want to
+cc0 | affirmer/deed | (?:affirmer|the person who associated a work with this deed) (?:hereby )?(?:overtly fully permanently irrevocably and unconditionally )?(?:waives|has dedicated)
+cc0 | waived | to the extent possible under law .{1,80}? has waived all copyright and related or neighboring rights
+cc-by | credit | you must give appropriate credit provide a link to the license and indicate if changes were made
+cc-by-sa | remix | if you remix transform or build upon the material you must distribute your contributions under the same license
+cc-by-nc | commercial | you may not use the material for commercial purposes
+cc-by-nd | remix | if you remix transform or build upon the material you may not distribute the modified material
+python | psf | psf is making python available to licensee on an as is basis
+python | beopen/cnri | beopen com license agreement|cnri license agreement
+php | php | php includes the zend engine freely available
+postgresql | university | in no event shall the university of california be liable to any party for direct indirect special incidental
+openssl | toolkit | software developed by the openssl project for use in the openssl toolkit
+openssl | young | includes cryptographic software written by eric young
+curl | daniel | copyright (?:.{1,40}? )?daniel stenberg
+ofl | reserved | reserved font name
+ofl | sold | the font software may be bundled redistributed and or sold with any software
+gfdl | invariant | with no invariant sections no front cover texts and no back cover texts
+ms-pl | contributor | each contributor grants you a non exclusive worldwide royalty free copyright license to reproduce its contribution
+w3c | permission | permission to copy modify and distribute this (?:work|software)(?: and its documentation)?(?: with or without modification)? for any purpose (?:.{1,60}? )?w3c
+zpl | zope | zope corporation and contributors|zope public license
+vim | vim | there are no restrictions on distributing unmodified copies of vim
+unicode | unicode | unicode inc license agreement data files and software
+odbl | database | made available under the open database license
+pddl | dedication | public domain dedication and license
+sspl | service | offering the program as a service requires making the service source code available
+busl | grant/change | additional use grant (?:.{1,200}? )?production use|change date (?:.{1,80}? )?change license
+elastic | hosted | you may not provide the software to third parties as a hosted or managed service
+commons-clause | commons | (?:the )?commons clause(?: license condition)?
+json | evil | the software shall be used for good not evil
+hpnd | documentation | that both that copyright notice and this permission notice appear in supporting documentation
+ncsa | deal | neither the names of .{1,120}? nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission (?:.{1,40}? )?deal
+rail | rail/restrictions | (?:creativeml open|bigscience|responsible ai|open) rail(?: m| s)? license|use based restrictions as referenced in
+llama | community | llama(?: 2| 3)? community license(?: agreement)?
+"""
+
 #: Full names: label, keyword, regex.
 NAMES = """
 mit | license/licence | (?:the )?(?:expat|mit x11|x11) licen[sc]e
@@ -213,7 +299,7 @@ def rules() -> list[tuple[int, str, str, str]]:
             words = name.replace("-", " ").replace(".", " ")
             suffix = "(?: only| or later)?" if "gpl" in label or label == "gfdl" else ""
             found.append((1, label, "spdx", f"spdx license identifier {words}{suffix}"))
-    found += [(2, label, keyword, regex) for label, keyword, regex in _lines(NOTICES)]
+    found += [(2, label, keyword, regex) for label, keyword, regex in _lines(NOTICES) + _lines(CLAUSES)]
     found += [(3, label, keyword, regex) for label, keyword, regex in _lines(NAMES) + _lines(ADDRESSES)]
     found += [(4, label, phrase.split()[-1], phrase) for phrase, label in BASE]
     return [(p, label, keyword, regex.replace("\\\\", "\\")) for p, label, keyword, regex in found]

@@ -19,6 +19,8 @@ from tallyframe.llm.license_rules import BASE, keywords, rules
 
 #: Words: runs of ASCII letters and digits and of anything outside ASCII, as they stand before lower-casing.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: No word holds it.
+MARK = "\x01"
 SCORES = (1.0, 0.9, 0.75, 0.5)
 _RULE = "struct<rule:int,priority:int,label:string,base:boolean,regex:string>"
 
@@ -52,20 +54,23 @@ def _blanks(c: Column) -> Column:
 
 
 def _matches(norm: Column, rule: Column) -> Column:
-    """Every match of the rule as first and last word; words are counted by the blanks before them."""
-    hits = F.regexp_extract_all(norm, rule["regex"], F.lit(0))
-    gaps = F.split(norm, rule["regex"], -1)
+    """Every match of the rule as first and last word, in time in proportion to the text.
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + _blanks(pair["gap"])
-        end = start + _blanks(pair["hit"])
+    A mark is put before each match; the words that begin with it are the starts.
+    """
+    none = F.array().cast("array<struct<start:int,back:int,priority:int,rule:int,label:string,base:boolean>>")
+
+    def hit(start: Column, text: Column) -> Column:
         # Ordered by start, then the longest, then the highest priority, then the earliest rule.
-        hit = F.struct(start.alias("start"), (-end).alias("back"), rule["priority"].alias("priority"), rule["rule"].alias("rule"), rule["label"].alias("label"), rule["base"].alias("base"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(hit)).alias("out"))
+        back = -(start + _blanks(text))
+        return F.struct(start.alias("start"), back.alias("back"), rule["priority"].alias("priority"), rule["rule"].alias("rule"), rule["label"].alias("label"), rule["base"].alias("base"))
+
+    def of(hits: Column) -> Column:
+        words = F.split(F.regexp_replace(norm, rule["regex"], F.lit(MARK + "$0")), " ")
+        starts = F.filter(F.transform(words, lambda w, i: F.when(F.startswith(w, F.lit(MARK)), i)), lambda i: i.isNotNull())
+        return F.when(F.size(hits) > 0, F.zip_with(starts, hits, hit)).otherwise(none)
 
-    empty = F.array().cast("array<struct<start:int,back:int,priority:int,rule:int,label:string,base:boolean>>")
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    return F.flatten(F.transform(F.array(F.regexp_extract_all(norm, rule["regex"], F.lit(0))), of))
 
 
 def _sweep(hits: Column) -> Column:

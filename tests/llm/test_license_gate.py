@@ -1,6 +1,8 @@
 """No rule's match is lost to the keyword gate."""
 
+import random
 import re
+import time
 from re import _parser
 
 import pytest
@@ -58,3 +60,44 @@ def test_every_alternative_is_found(spark):
 def test_verbs(spark, text, labels, score):
     row = license_scan.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert (row.labels, row.score, row.n_found) == (labels, score, 1)
+
+
+def brute(text):
+    """labels, n_found and score by the definition: every rule is run, every pair of matches compared."""
+    low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    norm = " ".join(re.findall(license_scan.WORD.lower(), low(text)))
+    hits = []
+    for number, (priority, label, _, regex) in enumerate(license_rules.rules()):
+        for m in re.finditer(f"(?<![^ ])(?:{regex})(?![^ ])", norm):
+            start = norm.count(" ", 0, m.start())
+            hits.append((start, -(start + m[0].count(" ")), priority, number, label))
+    hits.sort()
+    left = [h for k, h in enumerate(hits) if not any(g[0] <= h[0] and g[1] <= h[1] and g[2] <= h[2] for g in hits[:k])]
+    base = {label for phrase, label in license_rules.BASE if f" {phrase} " in f" {norm} "}
+    return ",".join(sorted({h[4] for h in left} | base)), len(left), max((license_scan.SCORES[h[2] - 1] for h in left), default=0.0)
+
+
+def test_against_every_rule_on_every_pair(spark):
+    random.seed(12)
+    found = [f[4] for f in matched()]
+    texts = [" ".join(random.choice([random.choice(found), "some other words", "license"]) for _ in range(random.randint(1, 8))).title() for _ in range(300)]
+    for row in license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        assert (row.labels, row.n_found, row.score) == brute(texts[row.doc_id]), texts[row.doc_id]
+
+
+def test_hundreds_of_hand_written_rules():
+    rules = license_rules.rules()
+    assert sum(p > 1 for p, _, _, _ in rules) > 200 and len({r[3] for r in rules if r[0] > 1}) > 200
+
+
+def test_many_matches_take_time_in_proportion(spark):
+    def seconds(n):
+        table = spark.createDataFrame([(1, "mit license here " * n)], "doc_id long, text string")
+        begun = time.time()
+        row = license_scan.license_scan(table).first()
+        assert (row.n_base, row.last_word) == (n, 3 * (n - 1))
+        return time.time() - begun
+
+    seconds(100)
+    few, many = seconds(4_000), seconds(64_000)
+    assert many < 16 * max(few, 1.0)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.plans.session import shared_dir, stored, table
+
+__all__ = ["ASCII_SPACE", "LOWER", "SPACED_WORD", "UPPER", "ascii_lower", "fold_of", "shared_dir", "stored", "table", "whole_text", "word_count"]
 #: Words between ASCII white space.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
 #: White space stripped from both ends of a line.
@@ -14,10 +15,6 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def whole_text(column: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(column), F.lit(""))
@@ -35,15 +32,3 @@ def word_count(c: Column) -> Column:
 def fold_of(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text modulo n; a null id counts as fold 1."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(1))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir), or one for local runs where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints").rstrip("/")
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df as a table written in the shared folder: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,8 +5,9 @@ every position gets a distribution over the languages from the two states there,
 mean over all its positions. Whole texts are read. The gates are piecewise linear, which keeps a position to a few
 passes over short vectors; the network is trained by backpropagation through time with Adam.
 
-It is fitted on a bounded sample: about SAMPLE_DOCS labelled documents of each language, picked by the hash of the id,
-and SAMPLE_SPANS spans of each at hashed places. The weights (a few kilobytes) are broadcast.
+It is fitted on a bounded sample: about SAMPLE_DOCS labelled documents of each language, picked by the hash of the id.
+Their whole texts are cut into windows; each training step draws documents, and of each document a window. The weights
+(a few kilobytes) are broadcast.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from tallyframe.llm.common import fold_of, whole_text
 
 HIDDEN, WINDOW = 8, 32
-#: Bounds of the sample: documents of a language, spans of a document, characters of a span.
-SAMPLE_DOCS, SAMPLE_SPANS, SPAN = 300, 16, 64
+#: Bound of the sample: documents of a language.
+SAMPLE_DOCS = 300
 STEPS, BATCH, RATE = 500, 256, 0.01
 #: Windows that are run together.
 TOGETHER = 4096
@@ -118,15 +119,20 @@ class Network:
             carried = d * update + du @ inner.T
         return {f"in_{side}": dtable, f"re_{side}": dinner, f"out_{side}": dout}
 
-    def fit(self, windows: np.ndarray, labels: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = 2) -> None:
-        """Adam over batches in which every language has the same share. windows: (windows, positions)."""
+    def fit(self, texts: list[bytes], labels: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = 2) -> None:
+        """Adam over windows of the texts, in batches in which every language has the same share."""
         rng = np.random.default_rng(seed)
         by = [np.flatnonzero(labels == k) for k in range(len(self.languages))]
+        # A text that is shorter than a window is repeated until it fills one.
+        raw = [t * (WINDOW // len(t) + 1) if len(t) < WINDOW else t for t in texts]
+        joined, sizes = np.frombuffer(b"".join(raw), dtype=np.uint8), np.array([len(t) for t in raw])
+        begins = np.cumsum(sizes) - sizes
         first, second = ({k: np.zeros_like(v) for k, v in self.weights.items()} for _ in range(2))
         for step in range(1, steps + 1):
             rows = np.concatenate([rng.choice(own, max(1, batch // len(by))) for own in by])
+            at = begins[rows] + (rng.random(len(rows)) * (sizes[rows] - WINDOW + 1)).astype(np.int64)
             slow = rate * (1 if step < steps * 0.6 else 0.2)
-            for k, g in self.gradients(windows[rows].T, labels[rows]).items():
+            for k, g in self.gradients(joined[at[None, :] + np.arange(WINDOW)[:, None]], labels[rows]).items():
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.999 * second[k] + 0.001 * g * g
                 self.weights[k] -= slow * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-7)
@@ -165,44 +171,35 @@ class Network:
         return sums / np.maximum([[len(t)] for t in texts], 1)
 
 
-def sample_spans(docs: DataFrame) -> pd.DataFrame:
-    """lang, spans of a bounded sample of the labelled documents (columns doc_id, text, lang)."""
+def sample_texts(docs: DataFrame) -> pd.DataFrame:
+    """lang, text of a bounded sample of the labelled documents (columns doc_id, text, lang)."""
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(F.col("text").rlike(r"\p{L}"))
     sizes = labelled.groupBy("lang").count().collect()
     if not sizes:
-        return pd.DataFrame({"lang": [], "spans": []})
+        return pd.DataFrame({"lang": [], "text": []})
     # One entry a language: looked up in the row, so that no text is shuffled to its language's rate.
     rate = F.element_at(F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(SAMPLE_DOCS / r["count"]))]), F.col("lang"))
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    room = F.greatest(F.char_length("text") - SPAN, F.lit(0)) + 1
-    spans = F.transform(F.sequence(F.lit(1), F.lit(SAMPLE_SPANS)), lambda i: F.substring("text", F.pmod(F.xxhash64("doc_id", i), room).cast("int") + 1, F.lit(SPAN)))
-    return labelled.where(place < rate).select("doc_id", "lang", spans.alias("spans")).toPandas().sort_values(["lang", "doc_id"])
+    return labelled.where(place < rate).select("doc_id", "lang", "text").toPandas().sort_values(["lang", "doc_id", "text"])
 
 
 def train(docs: DataFrame) -> Network | None:
     """A network of the languages that docs have; None if docs have no label."""
-    sample = sample_spans(docs)
+    sample = sample_texts(docs)
     if not len(sample):
         return None
     languages = sorted(sample["lang"].unique())
-    windows, labels = [], []
-    for lang, spans in zip(sample["lang"], sample["spans"]):
-        for span in spans:
-            raw = span.encode("utf-8", "replace")
-            raw = (raw * (WINDOW // max(1, len(raw)) + 1))[: max(WINDOW, len(raw) // WINDOW * WINDOW)]
-            own = np.frombuffer(raw, dtype=np.uint8).reshape(-1, WINDOW)
-            windows.append(own)
-            labels.append(np.full(len(own), languages.index(lang)))
     network = Network(languages)
-    network.fit(np.concatenate(windows), np.concatenate(labels))
+    network.fit([t.encode("utf-8", "replace") for t in sample["text"]], np.array([languages.index(x) for x in sample["lang"]]))
     return network
 
 
 def identify(docs: DataFrame, network: Network | None) -> DataFrame:
-    """docs with lang_pred and score (the pooled probability of that language, 0 to 1); all other columns stay.
+    """docs with lang_pred and score (the pooled probability of that language, 0 to 1).
 
     Null texts and texts without a letter are `und` with score 0, and so is every text if there is no network. Ties
-    go to the language that comes first by name; repeated rows are judged each; an empty table gives no rows.
+    go to the language that comes first by name; repeated rows are judged each; an empty table gives no rows. All
+    other columns stay, and columns of docs by those two names are replaced.
     """
     if network is None:
         return docs.withColumn("lang_pred", F.lit(UNKNOWN)).withColumn("score", F.lit(0.0))
@@ -219,10 +216,11 @@ def identify(docs: DataFrame, network: Network | None) -> DataFrame:
             yield pd.DataFrame({"lang_pred": np.array(names, dtype=object)[best], "score": np.clip(mean[np.arange(len(mean)), best], 0, 1)})
 
     known = F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}")
-    out = docs.withColumn("__judged", judged(whole_text())).withColumn("__known", known)
-    return out.withColumns({
-        "lang_pred": F.when(F.col("__known"), F.col("__judged.lang_pred")).otherwise(UNKNOWN), "score": F.when(F.col("__known"), F.col("__judged.score")).otherwise(0.0),
-    }).drop("__judged", "__known")
+    out = docs.select(F.struct(*docs.columns).alias("doc"), judged(whole_text()).alias("judged"), known.alias("known"))
+    return out.select(
+        *[F.col("doc")[c].alias(c) for c in docs.columns if c not in ("lang_pred", "score")],
+        F.when(F.col("known"), F.col("judged.lang_pred")).otherwise(UNKNOWN).alias("lang_pred"), F.when(F.col("known"), F.col("judged.score")).otherwise(0.0).alias("score"),
+    )
 
 
 def language_id(docs: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:

@@ -11,7 +11,7 @@ counts. A group reports a spanning forest of its links instead of all pairs; com
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -76,8 +76,11 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array([find(i) for i in range(n)])
 
 
-def tile_links(fps: np.ndarray, pops: np.ndarray, radius: int = RADIUS, tile: int = TILE) -> np.ndarray:
-    """For each fingerprint (sorted by population count) the index of its component's first. Links: at most radius bits."""
+def tile_links(fps: np.ndarray, pops: np.ndarray, radius: int = RADIUS, tile: int = TILE, met: Callable[[int, int], None] = lambda i, j: None) -> np.ndarray:
+    """For each fingerprint (sorted by population count) the index of its component's first. Links: at most radius bits.
+
+    met: told of every pair of tiles that is compared, by their first places.
+    """
     n = len(fps)
     root = np.arange(n)
     for i in range(0, n, tile):
@@ -85,6 +88,7 @@ def tile_links(fps: np.ndarray, pops: np.ndarray, radius: int = RADIUS, tile: in
         for j in range(i, n, tile):
             if pops[j] - last > radius:
                 break
+            met(i, j)
             near = np.bitwise_count(a[:, None] ^ fps[None, j : j + tile]) <= radius
             x, y = np.nonzero(near)
             x, y = root[x + i], root[y + j]
@@ -136,7 +140,7 @@ def _group_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_links(classes: DataFrame) -> DataFrame:
-    """node, other: links between the ids of classes whose fingerprints differ in at most two bits. classes: fp, rep."""
+    """node, other: links between the names of classes whose fingerprints differ in at most two bits. classes: fp, rep."""
     fp = F.col("fp")
     groups = []
     for k, kept in enumerate(combinations(BLOCKS, 4)):
@@ -152,11 +156,14 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint, component_id of every document, whatever other columns it has.
 
     Null and empty texts have fingerprint zero and are linked like any other. Rows that repeat a doc_id keep their own
-    fingerprint; a null doc_id is linked but is never a component's name unless its whole class has no other. An empty
-    table gives no rows.
+    fingerprint; a null doc_id is linked but names a component only if that has no other id. An empty table gives no
+    rows.
     """
     marked = stored(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle))
-    classes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    named = components(near_links(classes.where("rep IS NOT NULL")))
-    labels = stored(classes.join(named, classes["rep"] == named["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id")))
-    return marked.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    # A class goes by its fingerprint, which it has whether or not its documents have ids.
+    named = components(near_links(classes.select("fp", F.col("fp").alias("rep"))))
+    labels = stored(classes.join(named, classes["fp"] == named["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component")))
+    least = labels.groupBy("component").agg(F.min("least").alias("component_id"))
+    found = stored(labels.join(least, "component").select("fp", "component_id"))
+    return marked.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

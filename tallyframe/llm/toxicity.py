@@ -4,8 +4,8 @@ A text's features are its words, its word pairs and its pairs with one word skip
 counts once in a text, however often it occurs. Every coordinate has its own learning rate, and the L1 term keeps all
 but a few thousand weights at zero: only the others are broadcast.
 
-The model is fitted on a bounded sample of labelled rows (about SAMPLE of each class, picked by the hash of the id), of
-which executors send distinct slots only. The bias is then moved from the sample's share of toxic rows to the share
+The model is fitted on a bounded sample of labelled rows (about SAMPLE of each class, fewer if they have more than
+SAMPLE_SLOTS features together, picked by the hash of the id), of which executors send distinct slots only. The bias is then moved from the sample's share of toxic rows to the share
 among all labels.
 """
 
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from tallyframe.llm.common import fold_of, stored, whole_text
 
 BITS = 22
-#: Bound of the sample: labelled rows of each class.
-SAMPLE = 4_000
+#: Bounds of the sample: labelled rows of each class, and their features together (four bytes each on the driver).
+SAMPLE, SAMPLE_SLOTS = 4_000, 24_000_000
 #: FTRL-proximal: rate, smoothing, L1, L2; passes over the sample; rows of the sample that a slot must occur in.
 ALPHA, BETA, L1, L2, PASSES, LEAST_ROWS = 4.0, 1.0, 8.0, 0.01, 10, 2
 _TRIM = b".,;:!?\"'()[]{}#$%&*-_"
@@ -110,7 +110,10 @@ def train(docs: DataFrame, labels: DataFrame, folds: int) -> tuple[np.ndarray, n
         for part in texts:
             yield pd.Series([distinct(hasher.features(t)) for t in part], dtype=object)
 
-    got = docs.join(sample, "doc_id").select("doc_id", slots(whole_text()).alias("slots"), "toxic").toArrow()
+    held = stored(docs.join(sample, "doc_id").select("doc_id", slots(whole_text()).alias("slots"), "toxic"))
+    together = held.agg(F.coalesce(F.sum(F.size("slots").cast("long")), F.lit(0))).first()[0]
+    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("slots")), F.lit(1 << 30)) / float(1 << 30)
+    got = held.where(place < SAMPLE_SLOTS / max(1, together)).toArrow()
     rows = sorted(zip(got.column("doc_id").to_pylist(), map(np.asarray, got.column("slots").to_numpy()), got.column("toxic").to_pylist()), key=lambda r: (r[0], len(r[1])))
     ones = sum(label for _, _, label in rows)
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))

@@ -183,6 +183,32 @@ def test_simhash(docs, empty):
     assert all(len(c) == 1 for c in by.values()) and by["0" * 16] == {2}
 
 
+def test_simhash_links_documents_without_ids(spark):
+    words = [f"w{i}" for i in range(400)]
+    other = [*words[:200], "changed", *words[201:]]
+    rows = [(None, " ".join(words)), (None, " ".join(other)), (7, " ".join(words[:150])), (None, "quite another text here")]
+    got = {r.text: r for r in simhash_dedup.simhash_components(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text")).withColumnRenamed("fingerprint", "text").collect()}
+    assert len(got) == 4 and {r.component_id for r in got.values()} <= {None, 7}
+    fps = spark.createDataFrame([(1, 5), (3, 9)], "fp long, rep long")
+    assert simhash_dedup.near_links(fps).collect() and not simhash_dedup.near_links(fps.limit(0)).collect()
+
+
+def test_tiles_are_skipped_by_population_count():
+    """Of the tile pairs of a large group most are skipped, and no link is lost."""
+    rng = np.random.default_rng(3)
+    free = rng.permutation(1 << 18)[:20_000].astype(np.uint64)
+    fps = free[np.lexsort((free, np.bitwise_count(free)))]
+    compared = []
+    roots = simhash_dedup.tile_links(fps, np.bitwise_count(fps).astype(np.int64), radius=1, tile=256, met=lambda i, j: compared.append((i, j)))
+    tiles = -(-len(fps) // 256)
+    assert len(compared) < 0.6 * tiles * (tiles + 1) / 2
+    place = {int(f): k for k, f in enumerate(fps)}
+    pairs = [(k, place[n]) for k, f in enumerate(fps.tolist()) for b in range(18) if (n := f ^ (1 << b)) in place]
+    assert all(roots[a] == roots[b] for a, b in pairs)
+    brute = simhash_dedup._roots(len(fps), np.array([a for a, _ in pairs]), np.array([b for _, b in pairs]))
+    assert len(set(brute.tolist())) == len(set(roots.tolist()))
+
+
 def test_links_and_components(spark):
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**63, 60, dtype=np.uint64)
@@ -458,6 +484,28 @@ def test_language_id(spark, docs, empty):
     assert language_id.language_id(empty).count() == 0
 
 
+def test_language_id_replaces_its_columns(spark, docs):
+    table = docs.selectExpr("doc_id", "text", "lang", "7 AS score", "8 AS judged", "9 AS known", "'q' AS lang_pred", "1 AS doc")
+    out = language_id.identify(table, language_id.Network(["a", "b"]))
+    assert sorted(out.columns) == sorted(table.columns) and {(r.judged, r.known, r.doc) for r in out.collect()} == {(8, 9, 1)} and {r.lang_pred for r in out.collect()} <= {"a", "b", "und"}
+    assert set(language_id.identify(table, None).toPandas()["lang_pred"]) == {"und"}
+
+
+def test_pooling_against_a_plain_loop():
+    """Every position of whole texts counts once, whatever texts stand beside it."""
+    rng = np.random.default_rng(7)
+    network = language_id.Network(["a", "b", "c"], seed=3)
+    texts = [rng.integers(97, 123, n, dtype=np.uint8).tobytes() for n in (0, 1, 31, 32, 33, 700, 5, 64, 200_000, 0, 3)] + [b"xy"] * 600
+    got = network.pooled(texts)
+    for text, mean in list(zip(texts, got))[:14]:
+        sums = np.zeros(3)
+        for i in range(0, len(text), language_id.WINDOW):
+            own = np.frombuffer(text[i : i + language_id.WINDOW].ljust(language_id.WINDOW, b"\0"), dtype=np.uint8)[:, None]
+            sums += network.probabilities(own)[: len(text) - i, 0].sum(0)
+        assert np.allclose(mean, sums / max(1, len(text)), atol=1e-4)
+    assert np.allclose(got[11:], got[11])
+
+
 def test_gru_gradients():
     network = language_id.Network(["a", "b"], hidden=3, seed=5)
     network.weights = {k: v.astype(np.float64) * 0.5 for k, v in network.weights.items()}
@@ -494,3 +542,40 @@ def test_toxicity(spark, docs, empty):
     assert np.mean([got[i].predicted == (i % 4 == 0) for i in held]) > 0.97 and all(got[i].held_out for i in held)
     assert toxicity.toxicity(docs, labels).count() == len(TEXTS) and toxicity.toxicity(empty, labels).count() == 0
     assert {r.score for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {1 / (1 + math.exp(35))}
+
+
+def test_ftrl_against_the_update_rule():
+    """The fitted weights are those of the per-coordinate rule applied one row and coordinate at a time."""
+    rng = np.random.default_rng(2)
+    rows = [(np.unique(rng.integers(0, 40, 12)) if k % 3 else np.array([1, 2, 3]), int(k % 3 == 0)) for k in range(120)]
+    at, weights = toxicity.fit([(a.astype(np.int64), y) for a, y in rows], passes=2, seed=9)
+    bias, z, g2 = 1 << toxicity.BITS, Counter(), Counter()
+
+    def weight(i):
+        limit = 0.0 if i == bias else toxicity.L1
+        if abs(z[i]) <= limit:
+            return 0.0
+        return -(z[i] - math.copysign(limit, z[i])) / ((toxicity.BETA + math.sqrt(g2[i])) / toxicity.ALPHA + toxicity.L2)
+
+    met = Counter(i for a, _ in rows for i in a.tolist())
+    order, draw = np.arange(len(rows)), np.random.default_rng(9)
+    for _ in range(2):
+        draw.shuffle(order)
+        for k in order:
+            own = [i for i in rows[k][0].tolist() if met[i] >= toxicity.LEAST_ROWS] + [bias]
+            w = {i: weight(i) for i in own}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - rows[k][1]
+            for i in own:
+                sigma = (math.sqrt(g2[i] + g * g) - math.sqrt(g2[i])) / toxicity.ALPHA
+                z[i] += g - sigma * w[i]
+                g2[i] += g * g
+    expected = {i: weight(i) for i in [*range(40), bias] if weight(i) or i == bias}
+    assert set(at.tolist()) == set(expected) and all(abs(w - expected[i]) < 1e-9 for i, w in zip(at.tolist(), weights))
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_SLOTS", 4_000)
+    rows = [(i, f"word{i % 7} " * 3 + ("vile " if i % 2 else "kind ") + f"other{i}") for i in range(1500)]
+    table, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(1500)], "doc_id long, toxic int")
+    got = toxicity.toxicity(table, labels).collect()
+    assert len(got) == 1500 and np.mean([r.predicted == r.doc_id % 2 for r in got]) > 0.97

@@ -20,6 +20,7 @@ from __future__ import annotations
 import secrets
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import md5
 
 import numpy as np
@@ -165,24 +166,29 @@ def trie_levels(codes: DataFrame) -> list[DataFrame]:
 
 
 def predictions(asked: DataFrame, levels: list[DataFrame], alphabet: int) -> DataFrame:
-    """code, log: the trie's log10 prediction of every asked code. asked: code, once each; alphabet: distinct bytes seen."""
+    """code, log: the trie's log10 prediction of every asked code. asked: code, once each; alphabet: distinct bytes seen.
+
+    From order to order only the codes go on whose symbol the context has not seen.
+    """
     symbol = F.col("code").bitwiseAND(255)
-    state = asked.withColumns({"log": F.lit(None).cast("double"), "so_far": F.lit(None).cast("double"), "mass": F.lit(None).cast("long"), "fresh": F.lit(None).cast("long")})
+    state = asked.withColumns({"so_far": F.lit(None).cast("double"), "mass": F.lit(None).cast("long"), "fresh": F.lit(None).cast("long")})
+    told = []
     for order in range(ORDER, -1, -1):
         level = levels[order].select(F.col("context").alias("at"), "symbols", "total", "distinct", F.col("mass").alias("mass_below"), F.col("fresh").alias("fresh_below"))
-        # Codes that are done ask for contexts that there are none of, each for its own: they don't meet in one task.
-        context = F.when(F.col("log").isNull(), _suffix(F.shiftright("code", 8), order)).otherwise(-1 - F.col("code"))
         # By construction there are at most 256 contexts of order one, and one of order zero.
-        met = state.withColumn("ask", context).join(F.broadcast(level) if order <= 1 else level, F.col("ask") == F.col("at"), "left")
+        met = state.withColumn("ask", _suffix(F.shiftright("code", 8), order)).join(F.broadcast(level) if order <= 1 else level, F.col("ask") == F.col("at"), "left")
         n = F.get(F.filter("symbols", lambda s: s["symbol"] == symbol), 0)["n"]
         first, found = F.col("so_far").isNull(), F.col("at").isNotNull()
         here = F.when(first, F.log10(n / (F.col("total") + F.col("distinct")))).otherwise(F.col("so_far") + F.log10(n / F.col("mass")))
         escape = F.when(first, F.log10(F.col("distinct") / (F.col("total") + F.col("distinct")))).otherwise(F.col("so_far") + F.when(F.col("fresh") > 0, F.log10(F.col("fresh") / F.col("mass"))).otherwise(0.0))
-        state = met.select(
-            "code", F.coalesce("log", F.when(n.isNotNull(), here)).alias("log"), F.when(found, escape).otherwise(F.col("so_far")).alias("so_far"),
+        met = stored(met.select(
+            "code", F.when(n.isNotNull(), here).alias("log"), F.when(found, escape).otherwise(F.col("so_far")).alias("so_far"),
             F.when(found, F.col("mass_below")).otherwise(F.col("mass")).alias("mass"), F.when(found, F.col("fresh_below")).otherwise(F.col("fresh")).alias("fresh"),
-        )
-    return state.select("code", F.coalesce("log", F.coalesce("so_far", F.lit(0.0)) - F.log10(F.lit(float(256 - alphabet)))).alias("log"))
+        ))
+        told.append(met.where("log IS NOT NULL").select("code", "log"))
+        state = met.where("log IS NULL").drop("log")
+    told.append(state.select("code", (F.coalesce("so_far", F.lit(0.0)) - F.log10(F.lit(float(256 - alphabet)))).alias("log")))
+    return reduce(DataFrame.unionByName, told)
 
 
 class CodeTable:
@@ -334,7 +340,7 @@ def lm_score(docs: DataFrame, folds: int = 10, hot_codes: int = HOT_CODES, hot_w
     met = rows.select("row", F.explode("rare").alias("word")).join(words, "word", "left")
     log = F.log10((F.coalesce("n", F.lit(0)) + SMOOTHING) / scale)
     missed = rows.select("row", F.explode(F.arrays_zip("codes", "times")).alias("m")).select("row", F.col("m.codes").alias("code"), F.col("m.times").alias("times"))
-    told = stored(predictions(missed.select("code").distinct(), levels, alphabet))
+    told = predictions(missed.select("code").distinct(), levels, alphabet)
     # Both kinds of rest meet their row together.
     rest = met.select("row", log.alias("base"), F.col("n").isNotNull().cast("long").alias("known"), F.lit(0.0).alias("score")).unionByName(
         missed.join(told, "code").select("row", F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("known"), (F.col("log") * F.col("times")).alias("score"))

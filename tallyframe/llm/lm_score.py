@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import fold_of, stored, whole_text
+from tallyframe.llm.common import fold_of, small_batches, stored, whole_text
 
 ORDER, SMOOTHING = 5, 0.1
 #: Bounds of what is broadcast (both are caches): codes, words, and the bytes beyond which a word goes by its digest.
@@ -287,7 +287,8 @@ def lm_score(docs: DataFrame, folds: int = 10, hot_codes: int = HOT_CODES, hot_w
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold_of(F.col("doc_id"), folds) == 0).alias("held_out"), whole_text().alias("text"))
     counted = docs.where("NOT held_out").select("text").mapInArrow(_counted, "word binary, code long, n long")
-    counts = stored(counted.groupBy("word", "code").agg(F.sum("n").alias("n")))
+    with small_batches(docs.sparkSession):
+        counts = stored(counted.groupBy("word", "code").agg(F.sum("n").alias("n")))
     words = counts.where("word IS NOT NULL").select("word", "n")
     training = docs.where("NOT held_out").count()
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -336,7 +337,8 @@ def lm_score(docs: DataFrame, folds: int = 10, hot_codes: int = HOT_CODES, hot_w
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _SCORED)], schema=_SCORED)
 
     kind = "doc_id long, held_out boolean, n_bytes long, n_tokens long, n_hot long, base_hot double, score_hot double, rare array<binary>, codes array<long>, times array<long>"
-    rows = stored(docs.mapInArrow(scored, kind).withColumn("row", F.monotonically_increasing_id()))
+    with small_batches(docs.sparkSession):
+        rows = stored(docs.mapInArrow(scored, kind).withColumn("row", F.monotonically_increasing_id()))
     met = rows.select("row", F.explode("rare").alias("word")).join(words, "word", "left")
     log = F.log10((F.coalesce("n", F.lit(0)) + SMOOTHING) / scale)
     missed = rows.select("row", F.explode(F.arrays_zip("codes", "times")).alias("m")).select("row", F.col("m.codes").alias("code"), F.col("m.times").alias("times"))

@@ -31,6 +31,15 @@ BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 PIECE = 1 << 15
 
 
+def majority(hashes: np.ndarray) -> np.uint64:
+    """The bits that are set in over half of the hashes."""
+    ones = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(hashes), PIECE):
+        piece = hashes[i : i + PIECE]
+        ones += np.unpackbits(piece.view(np.uint8).reshape(len(piece), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0]
+
+
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     """The 64-bit majority of the shingles' hashes; zero for a text without words.
 
@@ -41,12 +50,7 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
         return 0
     parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
     n = max(1, len(words) - shingle + 1)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), dtype="<u8", count=n)
-    ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, n, PIECE):
-        piece = hashes[i : i + PIECE]
-        ones += np.unpackbits(piece.view(np.uint8).reshape(len(piece), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+    return int(majority(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), dtype="<u8", count=n)))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:

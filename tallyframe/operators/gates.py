@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.plans.session import stored
+
 #: A gate is a name and the reason it rejects with (null: it passes).
 Gate = tuple[str, Column]
 
@@ -107,10 +109,9 @@ def fenced_object(c: Column) -> Column:
 
 def judge_cap(rows: DataFrame, order: list[Column], share: float) -> DataFrame:
     """rows with `judged`: the first max(1, int(share n)) in the order given."""
-    most = max(1, int(share * rows.count()))
-    first = rows.orderBy(*order).limit(most).withColumn("judged", F.lit(True))
-    keys = rows.columns
-    return rows.join(first, keys, "left").withColumn("judged", F.coalesce("judged", F.lit(False)))
+    numbered = stored(rows.withColumn("row_number", F.monotonically_increasing_id()))
+    first = numbered.orderBy(*order).limit(max(1, int(share * numbered.count()))).select("row_number", F.lit(True).alias("judged"))
+    return numbered.join(first, "row_number", "left").select(*rows.columns, F.coalesce("judged", F.lit(False)).alias("judged"))
 
 
 def map_batches(rows: DataFrame, schema: str, make: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]) -> DataFrame:

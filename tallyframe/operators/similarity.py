@@ -11,17 +11,35 @@ from tallyframe.plans.session import stored
 
 def exact_keys(docs: DataFrame) -> DataFrame:
     """docs with `norm` and `key`, the SHA-256 of the normalised text."""
-    return docs.withColumn("norm", T.normalize(F.col("text"))).withColumn("key", F.sha2(F.encode("norm", "UTF-8"), 256))
+    # Never null, so that no join or filter works it out a second time to ask.
+    return docs.withColumn("norm", T.normalize(F.col("text"))).withColumn("key", F.coalesce(F.sha2(F.encode("norm", "UTF-8"), 256), F.lit("")))
 
 
 def dedup_exact(docs: DataFrame, pack: str) -> DataFrame:
-    """doc_id, pack, key, keep_id: rows of a pack with the same normalised text point to the smallest id.
+    """doc_id, pack, key, keep_id: rows of a pack (null is one too) with the same normalised text point to the smallest id.
 
-    Grouped, not windowed: a text that a third of all rows share is combined before the shuffle.
+    Grouped, not windowed: a text that a third of all rows share is combined before the shuffle. The keys are written,
+    so that texts are read and hashed once.
     """
-    keyed = exact_keys(docs).select("doc_id", pack, "key")
-    keep = keyed.groupBy(pack, "key").agg(F.min("doc_id").alias("keep_id"))
-    return keyed.join(keep, [pack, "key"])
+    keyed = stored(exact_keys(docs).select("doc_id", pack, "key"))
+    keep = keyed.groupBy(F.col(pack).alias("in_pack"), F.col("key").alias("of_key")).agg(F.min("doc_id").alias("keep_id"))
+    return keyed.join(keep, F.col(pack).eqNullSafe(F.col("in_pack")) & (F.col("key") == F.col("of_key"))).select("doc_id", pack, "key", "keep_id")
+
+
+def dedup_summary(docs: DataFrame, pack: str) -> DataFrame:
+    """pack, n_docs, n_distinct, n_duplicates of each pack by its normalised texts."""
+    texts = exact_keys(docs).groupBy(pack, "key").agg(F.count(F.lit(1)).alias("n"))
+    return texts.groupBy(pack).agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_distinct"), (F.sum("n") - F.count(F.lit(1))).alias("n_duplicates"))
+
+
+def _gram_rows(docs: DataFrame, columns: list[str], grams: Column) -> DataFrame:
+    """columns, n_grams and g: a row for each gram, as 64 bits.
+
+    Exploded outer and filtered after: an inner explode makes the optimizer build the grams once more to see whether
+    there are any.
+    """
+    hashed = docs.select(*columns, F.transform(grams, lambda g: F.xxhash64(g)).alias("grams"))
+    return hashed.select(*columns, F.size("grams").alias("n_grams"), F.explode_outer("grams").alias("g")).where(F.col("g").isNotNull())
 
 
 def shingle_sets(docs: DataFrame, pack: str, n: int = 4) -> DataFrame:
@@ -96,10 +114,11 @@ def cross_split_pairs(docs: DataFrame, pack: str, threshold: float) -> DataFrame
 def shingle_contamination(docs: DataFrame, items: DataFrame, n: int = 8, share: float = 0.10) -> DataFrame:
     """doc_id, item_id, hits, ratio: for each document the item it shares most n-word grams with, if that is `share`
     of the document's or of the item's grams. Ties go to the smaller item id."""
-    d = docs.select("doc_id", T.grams(T.words(T.normalize(F.col("text"))), n).alias("g"))
-    i = items.select("item_id", T.grams(T.words(T.normalize(F.col("text"))), n).alias("g"))
-    sizes = i.select("item_id", F.size("g").alias("n_item"))
-    hits = d.select("doc_id", F.size("g").alias("n_doc"), F.explode("g").alias("s")).join(i.select("item_id", F.explode("g").alias("s")), "s").groupBy("doc_id", "item_id", "n_doc").agg(F.count(F.lit(1)).alias("hits"))
+    grams = T.grams(T.words(T.normalize(F.col("text"))), n)
+    i = stored(_gram_rows(items, ["item_id"], grams))
+    sizes = i.select("item_id", F.col("n_grams").alias("n_item")).distinct()
+    met = _gram_rows(docs, ["doc_id"], grams).withColumnRenamed("n_grams", "n_doc").join(i.select("item_id", "g"), "g")
+    hits = met.groupBy("doc_id", "item_id", "n_doc").agg(F.count(F.lit(1)).alias("hits"))
     best = hits.groupBy("doc_id").agg(F.max_by(F.struct("item_id", "hits", "n_doc"), F.struct(F.col("hits"), -F.col("item_id"))).alias("b")).select("doc_id", "b.*")
     ratio = F.greatest(F.col("hits") / F.col("n_doc"), F.col("hits") / F.col("n_item"))
     return best.join(sizes, "item_id").select("doc_id", "item_id", "hits", F.round(ratio, 6).alias("ratio")).where(F.col("ratio") >= share)
@@ -128,18 +147,20 @@ def entity_contamination(docs: DataFrame, items: DataFrame, item_df: int = 3, co
 
 def phrase_coverage(docs: DataFrame, family: str, n: int = 5) -> DataFrame:
     """family, rows, coverage: mean share of an evaluation text's n-grams that some training text of its family has."""
-    g = docs.select("doc_id", family, "is_eval", F.explode(T.grams(T.words(T.normalize(T.skeleton(F.col("text")))), n)).alias("g"))
-    seen = g.where("NOT is_eval").select(family, "g").distinct().withColumn("seen", F.lit(1))
-    rows = g.where("is_eval").join(seen, [family, "g"], "left").groupBy(family, "doc_id").agg(F.avg(F.coalesce("seen", F.lit(0))).alias("share"))
+    g = _gram_rows(docs, ["doc_id", family, "is_eval"], T.grams(T.words(T.normalize(T.skeleton(F.col("text")))), n))
+    seen = g.where("NOT is_eval").select(F.col(family).alias("in_family"), F.col("g").alias("known")).distinct().withColumn("seen", F.lit(1))
+    asked = g.where("is_eval").join(seen, F.col(family).eqNullSafe(F.col("in_family")) & (F.col("g") == F.col("known")), "left")
+    rows = asked.groupBy(family, "doc_id").agg(F.avg(F.coalesce("seen", F.lit(0))).alias("share"))
     return rows.groupBy(family).agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg("share"), 6).alias("coverage"))
 
 
 def boilerplate_share(docs: DataFrame, family: str, n: int = 5) -> DataFrame:
     """family, rows, share: mean share of a row's n-grams that max(3, 5 %) of the family's rows or more have."""
-    g = docs.select("doc_id", family, F.explode(T.grams(T.words(T.normalize(T.skeleton(F.col("text")))), n)).alias("g"))
-    rows = docs.groupBy(family).agg(F.count(F.lit(1)).alias("rows"))
-    df = g.groupBy(family, "g").agg(F.count(F.lit(1)).alias("df")).join(rows, family).where(F.col("df") >= F.greatest(F.lit(3), F.floor(F.col("rows") * 0.05)))
-    share = g.join(df.select(family, "g", F.lit(1).alias("often")), [family, "g"], "left").groupBy(family, "doc_id").agg(F.avg(F.coalesce("often", F.lit(0))).alias("share"))
+    g = _gram_rows(docs, ["doc_id", family], T.grams(T.words(T.normalize(T.skeleton(F.col("text")))), n))
+    rows = docs.groupBy(F.col(family).alias("in_family")).agg(F.count(F.lit(1)).alias("rows"))
+    df = g.groupBy(family, "g").agg(F.count(F.lit(1)).alias("df")).join(rows, F.col(family).eqNullSafe(F.col("in_family"))).where(F.col("df") >= F.greatest(F.lit(3), F.floor(F.col("rows") * 0.05)))
+    often = df.select("in_family", F.col("g").alias("known"), F.lit(1).alias("often"))
+    share = g.join(often, F.col(family).eqNullSafe(F.col("in_family")) & (F.col("g") == F.col("known")), "left").groupBy(family, "doc_id").agg(F.avg(F.coalesce("often", F.lit(0))).alias("share"))
     return share.groupBy(family).agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg("share"), 6).alias("share"))
 
 

@@ -39,9 +39,7 @@ WITH k AS (SELECT lang, sha256({NORM}) AS key FROM documents)
 SELECT lang, CAST(count(*) AS BIGINT) AS n_docs, CAST(count(DISTINCT key) AS BIGINT) AS n_distinct, CAST(count(*) - count(DISTINCT key) AS BIGINT) AS n_duplicates FROM k GROUP BY lang
 """)
 def dedup_exact_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = similarity.dedup_exact(docs_of(spark, sf_dir), "lang")
-    distinct = F.sum((F.col("doc_id") == F.col("keep_id")).cast("int"))
-    return kept.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), distinct.alias("n_distinct"), (F.count(F.lit(1)) - distinct).alias("n_duplicates"))
+    return similarity.dedup_summary(docs_of(spark, sf_dir), "lang")
 
 
 @query(f"""

@@ -155,3 +155,25 @@ def test_stream_dedup(spark, tmp_path):
     assert 3 in got and len(got & {1, 2}) == 1
     counts = streams.windowed_counts(streams.stream_of(spark, str(tmp_path / "in")), "ts", "text", "10 minutes", "1 minute")
     assert counts.isStreaming and counts.columns == ["start", "text", "n"]
+
+
+def test_null_groups_stay(spark):
+    rows = [(k, "the very same text here again and more of it 9" if k % 2 else f"another text number {k} of the small book", [None, "en"][k % 3 == 0], k % 4 == 0) for k in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, is_eval boolean")
+    kept = similarity.dedup_exact(docs, "lang").collect()
+    assert len(kept) == 24 and {r.keep_id for r in kept if r.lang is None and r.doc_id % 2} == {1}
+    for table in (similarity.dedup_summary(docs, "lang"), similarity.phrase_coverage(docs, "lang"), similarity.boilerplate_share(docs, "lang")):
+        assert {r.lang for r in table.collect()} == {None, "en"}
+    assert sum(r.n_docs for r in similarity.dedup_summary(docs, "lang").collect()) == 24
+
+
+def test_judge_cap_takes_rows_with_nulls(spark):
+    rows = spark.createDataFrame([(1, None), (1, None), (2, "b"), (3, None)], "id long, x string")
+    got = gates.judge_cap(rows, [F.col("id")], 0.5).collect()
+    assert len(got) == 4 and sum(r.judged for r in got) == 2
+
+
+def test_texts_are_hashed_once(spark):
+    docs = spark.createDataFrame([(1, "a b", "en")], "doc_id long, text string, lang string")
+    plan = similarity.dedup_summary(docs, "lang")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") == 1

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tallyframe.plans import audit_queries, metric_queries, rule_queries, source_queries, text_queries
+from tallyframe.plans import audit_queries, gate_queries, metric_queries, rule_queries, source_queries, text_queries
 
-QUERIES: dict = {**text_queries.QUERIES, **metric_queries.QUERIES, **rule_queries.QUERIES, **source_queries.QUERIES, **audit_queries.QUERIES}
-ORACLES: dict = {**text_queries.ORACLES, **metric_queries.ORACLES, **rule_queries.ORACLES, **source_queries.ORACLES, **audit_queries.ORACLES}
+_MODULES = (text_queries, metric_queries, rule_queries, source_queries, audit_queries, gate_queries)
+QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLES: dict = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

@@ -192,3 +192,20 @@ def rbac(roles: Column, grants: Column, needed: Column, expired: Column, needs_a
     """roles, grants: arrays of permissions that roles and direct grants give."""
     held = F.array_contains(F.array_union(roles, grants), needed)
     return first_match([(~held | expired, "deny"), (needs_approval, "require_approval")], "allow")
+
+
+#: Fixed value: days of a month.
+MONTH_DAYS = 30.4375
+
+
+def procedure_tier(f: Facts, new_months: int, limits: list[list[float]], tiers: list[str]) -> Column:
+    """The approval tier of a payment. Facts: category (0 to 3), approved_country, days_known, watched, total.
+
+    A country that isn't approved and a partner of less than new_months raise the category by one each, to 3 at most; a
+    watched partner is 3. The tier is the first whose limit of that category holds the total, the last if none does.
+    """
+    raised = f["category"] + (~f["approved_country"]).cast("int") + (f["days_known"] < new_months * MONTH_DAYS).cast("int")
+    category = F.when(f["watched"], 3).otherwise(F.least(raised, F.lit(3)))
+    row = F.element_at(F.array(*[F.array(*[F.lit(float(x)) for x in r]) for r in limits]), category.cast("int") + 1)
+    over = F.size(F.filter(row, lambda x: x < f["total"]))
+    return F.element_at(F.array(*[F.lit(t) for t in tiers]), over + 1)

@@ -65,3 +65,17 @@ def sessions(events: DataFrame, key: str, at: str, gap_seconds: int) -> DataFram
     fresh = (micros - F.lag(micros).over(by) > gap_seconds * 1_000_000).cast("int")
     numbered = events.withColumn("session", F.sum(F.coalesce(fresh, F.lit(0))).over(by))
     return numbered.groupBy(key, "session").agg(F.min(at).alias("start"), F.max(at).alias("end"), F.count(F.lit(1)).alias("n"))
+
+
+def period_end(kind: Column, anchor: Column, n: int, roll: Column, exclusive: Column, count_anchor: Column, holidays: list[str] | None = None) -> Column:
+    """The last day in time of a period of n months, days, weeks or bdays from the anchor.
+
+    roll: a day that the month lacks rolls to the first of the next. exclusive: the anniversary itself is too late.
+    count_anchor: the anchor is the first day. A null flag doesn't hold.
+    """
+    less = lambda flag: F.coalesce(flag, F.lit(False)).cast("int")
+    months = F.when(F.coalesce(roll, F.lit(False)), add_months_rolled(anchor, n)).otherwise(F.add_months(anchor, n))
+    return (
+        F.when(kind == "months", F.date_sub(months, less(exclusive))).when(kind == "days", F.date_sub(F.date_add(anchor, n), less(count_anchor)))
+        .when(kind == "weeks", F.date_sub(F.date_add(anchor, 7 * n), less(count_anchor))).otherwise(add_business_days(anchor, n, holidays))
+    )

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tallyframe.plans import audit_queries, gate_queries, metric_queries, rule_queries, source_queries, text_queries
+from tallyframe.plans import audit_queries, dataset_queries, gate_queries, metric_queries, rule_queries, source_queries, text_queries
 
-_MODULES = (text_queries, metric_queries, rule_queries, source_queries, audit_queries, gate_queries)
+_MODULES = (text_queries, metric_queries, rule_queries, source_queries, audit_queries, gate_queries, dataset_queries)
 QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES: dict = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

@@ -33,12 +33,18 @@ def trailing_sum(rows: DataFrame, key: str, day: Column, amount: str, days: int)
     return keyed.join(sums, [key, "__day"]).withColumn("linked", F.round(F.coalesce("__linked", F.lit(0.0)), 2)).drop("__day", "__linked")
 
 
-def interval_relation(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
-    """before, after, during, overlapping or unknown of half-open intervals; the order of the tests matters."""
-    unknown = a_start.isNull() | a_end.isNull() | b_start.isNull() | b_end.isNull()
+def interval_relation(a_start: Column, a_end: Column, b_start: Column, b_end: Column, conflict: Column | None = None) -> Column:
+    """conflicting, unknown, before, after or during of half-open intervals; the order of the tests matters.
+
+    conflict: the sources of a time contradict each other. A missing time and a partial overlap are unknown; what starts
+    at the very moment that is all of b isn't after it.
+    """
+    missing = a_start.isNull() | a_end.isNull() | b_start.isNull() | b_end.isNull()
+    at_moment = (a_start == b_start) & (b_end == b_start)
     return (
-        F.when(unknown, "unknown").when(a_end <= b_start, "before").when(b_end <= a_start, "after").when((a_start >= b_start) & (a_end <= b_end), "during").otherwise("overlapping")
-    )
+        F.when(F.lit(False) if conflict is None else conflict, "conflicting").when(missing, "unknown").when(a_end <= b_start, "before")
+        .when((a_start >= b_end) & ~at_moment, "after").when((a_start >= b_start) & (a_end <= b_end), "during").otherwise("unknown")
+    )
 
 
 def add_business_days(day: Column, n: int, holidays: list[str] | None = None) -> Column:

@@ -220,15 +220,15 @@ def trailing_linked_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) > 86400000000 THEN 1 ELSE 0 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 n AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g), s AS (SELECT user_id, session, min(ts) AS a, max(ts) AS b, count(*) AS n FROM n GROUP BY ALL),
-p AS (SELECT x.user_id, CASE WHEN x.b <= y.a THEN 'before' WHEN y.b <= x.a THEN 'after' WHEN x.a >= y.a AND x.b <= y.b THEN 'during' ELSE 'overlapping' END AS relation FROM s x JOIN s y ON y.user_id = x.user_id + 1 AND y.session = x.session)
+p AS (SELECT x.user_id, CASE WHEN x.n > 9 AND y.n > 9 THEN 'conflicting' WHEN x.b <= y.a THEN 'before' WHEN x.a >= y.b AND NOT (x.a = y.a AND y.b = y.a) THEN 'after' WHEN x.a >= y.a AND x.b <= y.b THEN 'during' ELSE 'unknown' END AS relation FROM s x JOIN s y ON y.user_id = x.user_id + 1 AND y.session = x.session)
 SELECT user_id, relation, CAST(count(*) AS BIGINT) AS n FROM p GROUP BY ALL
 """)
 def interval_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user's sessions against those of the next user with the same number."""
+    """A user's sessions against those of the next user with the same number; two long ones stand for a contradiction."""
     s = temporal.sessions(table(spark, sf_dir, "events"), "user_id", "ts", 86_400)
-    x = s.select("user_id", "session", F.col("start").alias("xa"), F.col("end").alias("xb"))
-    y = s.select((F.col("user_id") - 1).alias("user_id"), "session", F.col("start").alias("ya"), F.col("end").alias("yb"))
-    relation = temporal.interval_relation(F.col("xa"), F.col("xb"), F.col("ya"), F.col("yb"))
+    x = s.select("user_id", "session", F.col("start").alias("xa"), F.col("end").alias("xb"), F.col("n").alias("xn"))
+    y = s.select((F.col("user_id") - 1).alias("user_id"), "session", F.col("start").alias("ya"), F.col("end").alias("yb"), F.col("n").alias("yn"))
+    relation = temporal.interval_relation(F.col("xa"), F.col("xb"), F.col("ya"), F.col("yb"), (F.col("xn") > 9) & (F.col("yn") > 9))
     return x.join(y, ["user_id", "session"]).groupBy("user_id", relation.alias("relation")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import decontaminate, exact_dedup, language_id, license_scan, line_dedup, lm_score, mixture, simhash_dedup, token_count, toxicity
+from tallyframe.llm import decontaminate, exact_dedup, filter_audit, language_id, license_scan, line_dedup, lm_score, mixture, simhash_dedup, token_count, toxicity
 from tallyframe.llm.common import table
 
 
@@ -53,5 +53,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_license_scan": op1_license_scan, "op2_token_count": op2_token_count, "op3_mixture": op3_mixture, "op4_simhash": op4_simhash, "op5_lm_score": op5_lm_score, "op6_decontaminate": op6_decontaminate, "op7_exact_dedup": op7_exact_dedup, "op8_line_dedup": op8_line_dedup, "op9_language_id": op9_language_id, "op10_toxicity": op10_toxicity}
-ORACLES = {"op7_exact_dedup": exact_dedup.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op1_license_scan": op1_license_scan, "op2_token_count": op2_token_count, "op3_mixture": op3_mixture, "op4_simhash": op4_simhash, "op5_lm_score": op5_lm_score, "op6_decontaminate": op6_decontaminate, "op7_exact_dedup": op7_exact_dedup, "op8_line_dedup": op8_line_dedup, "op9_language_id": op9_language_id, "op10_toxicity": op10_toxicity, "op11_filter_audit": op11_filter_audit}
+ORACLES = {"op7_exact_dedup": exact_dedup.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op11_filter_audit": filter_audit.ORACLE}

@@ -332,5 +332,7 @@ def pii(docs: DataFrame) -> DataFrame:
     def joined(of):
         return F.array_join(F.transform(of, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
-    counts = [F.size(F.filter(plain, lambda x, kind=kind: x["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined(plain).cast("binary"), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), (F.size("found") - F.size(plain)).cast("long").alias("n_disguised"))
+    def count(kind):
+        return F.size(F.filter(plain, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, KINDS), F.sha2(joined(plain).cast("binary"), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), (F.size("found") - F.size(plain)).cast("long").alias("n_disguised"))

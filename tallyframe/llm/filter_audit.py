@@ -1,13 +1,13 @@
 """What each order of five quality filters removes, and what each filter removes that no other would.
 
 Documents become a sparse document-term matrix. A task reads whole texts into shards of compressed sparse rows with a
-vocabulary of their own; the vocabularies of all shards are grouped into one dictionary that numbers every word; each
-shard then gets the numbers of its columns. A document's row sum is its words, its stored entries are its distinct
+vocabulary of their own; a dictionary, grouped from the vocabularies of all shards, gives every word its number, and
+each shard maps its columns to these numbers. A document's row sum is its words, its stored entries are its distinct
 words: these decide filters A and B. C and D are counted in the same reading, and E compares digests of whole texts.
 
-What is shuffled is small: a shard's distinct words (each once a shard, not once a document), the shards' numbers, and
-about a hundred bytes a document. Words that very many shards hold are numbered by a broadcast table of at most
-HOT_WORDS rows; the others meet the dictionary in a join in which no word has more than a bounded number of rows.
+A word's number is a hash, so that a shard knows it without meeting the dictionary; words that share a hash are told
+apart afterwards, by numbers below zero. What is shuffled is a shard's distinct words, once each, and about a hundred
+bytes a document. No word has more rows than there are shards.
 """
 
 from __future__ import annotations
@@ -15,11 +15,12 @@ from __future__ import annotations
 import hashlib
 import secrets
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,17 +29,21 @@ from tallyframe.llm.common import small_batches, stored, whole_text
 LETTERS = "ABCDE"
 LEAST_WORDS, LEAST_DISTINCT_PERCENT, MOST_CAPITALS_PERCENT, MARKS = 200, 50, 2, b"#$%&*|"
 #: A shard is closed at so many documents or stored entries.
-SHARD_DOCS, SHARD_ENTRIES = 1_000, 500_000
-#: Words whose numbers are broadcast, at most; shards that hold a word below which it never is.
-HOT_WORDS, HOT_SHARDS = 20_000, 64
+SHARD_DOCS, SHARD_ENTRIES = 4_000, 1_000_000
 #: Longer words stand in the dictionary by their SHA-256, so that no key is longer than 65 bytes.
 LONG_WORD = 64
 
-_SHARD = pa.schema(
-    [("shard", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("part", pa.list_(pa.string())), ("capitals", pa.list_(pa.int64())), ("n_chars", pa.list_(pa.int64())), ("marked", pa.list_(pa.bool_())),
-     ("digest", pa.list_(pa.binary())), ("indptr", pa.list_(pa.int64())), ("local", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("vocabulary", pa.list_(pa.binary()))]
-)
-_KIND = "shard long, doc_id array<long>, part array<string>, capitals array<long>, n_chars array<long>, marked array<boolean>, digest array<binary>, indptr array<long>, local array<int>, counts array<int>, vocabulary array<binary>"
+_CARRIED = {"doc_id": pa.int64(), "part": pa.string(), "capitals": pa.int64(), "n_chars": pa.int64(), "marked": pa.bool_(), "digest": pa.binary()}
+_ROWS = {"indptr": pa.int64(), "local": pa.int32(), "counts": pa.int32(), "numbers": pa.int64(), "vocabulary": pa.binary()}
+_SHARD = pa.schema([("shard", pa.int64()), *((name, pa.list_(kind)) for name, kind in (_CARRIED | _ROWS).items())])
+_KIND = (
+    "shard long, doc_id array<long>, part array<string>, capitals array<long>, n_chars array<long>, marked array<boolean>, digest array<binary>, "
+    "indptr array<long>, local array<int>, counts array<int>, numbers array<long>, vocabulary array<binary>"
+)
+
+
+def number_of(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word) >> 1
 
 
 def _key(word: bytes) -> bytes:
@@ -48,7 +53,8 @@ def _key(word: bytes) -> bytes:
 class _Shard:
     """Documents of one task until the shard is full: compressed sparse rows over the shard's own vocabulary."""
 
-    def __init__(self):
+    def __init__(self, number: Callable[[bytes], int]):
+        self.number = number
         self.vocabulary: dict[bytes, int] = {}
         self.docs: list[tuple] = []
         self.indptr, self.local, self.counts = [0], [], []
@@ -67,65 +73,59 @@ class _Shard:
 
     def batch(self) -> pa.RecordBatch:
         """The shard as a single row."""
-        columns = [[secrets.randbits(63)], *([list(c)] for c in zip(*self.docs)), [self.indptr], [self.local], [self.counts], [[_key(w) for w in self.vocabulary]]]
+        words = [_key(w) for w in self.vocabulary]
+        columns = [[secrets.randbits(63)], *([list(c)] for c in zip(*self.docs)), [self.indptr], [self.local], [self.counts], [[self.number(w) for w in words]], [words]]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SHARD)], schema=_SHARD)
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shard = _Shard()
+def _shards(batches: Iterator[pa.RecordBatch], number: Callable[[bytes], int]) -> Iterator[pa.RecordBatch]:
+    shard = _Shard(number)
     for batch in batches:
         for doc_id, part, text in zip(batch.column("doc_id"), batch.column("part"), batch.column("text")):
-            shard.add(doc_id.as_py(), part.as_py(), text.as_buffer().to_pybytes() if len(text.as_buffer() or b"") else b"")
+            shard.add(doc_id.as_py(), part.as_py(), (text.as_buffer() or pa.py_buffer(b"")).to_pybytes())
             if shard.full():
                 yield shard.batch()
-                shard = _Shard()
+                shard = _Shard(number)
     if shard.docs:
         yield shard.batch()
 
 
-def document_term_matrix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def document_term_matrix(docs: DataFrame, number: Callable[[bytes], int] = number_of) -> tuple[DataFrame, DataFrame]:
     """The matrix's shards and its dictionary, both written.
 
     docs: doc_id, part and text (no nulls but for doc_id). A shard has, for each of its documents, doc_id, part,
-    capitals (`[A-Z]` characters), n_chars (code points), marked and digest; and its rows as indptr, columns (numbers
-    of the dictionary) and counts. The dictionary has column, word (of more than LONG_WORD bytes: a digest) and
-    n_shards.
+    capitals (`[A-Z]` characters), n_chars (code points), marked and digest; and its rows as indptr, local and counts.
+    An entry's column is numbers[local]. The dictionary has number, word (of more than LONG_WORD bytes: a digest) and
+    n_shards. `number` may be any hash from 0 to 2^63 - 1; a weak one costs time, never a wrong column.
     """
-    spark = docs.sparkSession
-    with small_batches(spark):
-        local = stored(docs.select("doc_id", "part", "text").mapInArrow(_shards, _KIND))
-    words = local.select("shard", F.posexplode("vocabulary").alias("at", "word"))
-    dictionary = words.groupBy("word").agg(F.count(F.lit(1)).alias("n_shards"))
-    dictionary = stored(dictionary.select(F.monotonically_increasing_id().alias("column"), "word", "n_shards"))
-    pairs = dictionary.agg(F.coalesce(F.sum("n_shards"), F.lit(0))).first()[0]
-    often = F.col("n_shards") > max(HOT_SHARDS, pairs // HOT_WORDS)
-    hot = F.broadcast(dictionary.where(often).select("word", F.col("column").alias("hot")))
-    met = words.join(hot, "word", "left")
-    rare = met.where("hot IS NULL").drop("hot").join(dictionary.where(~often).select("word", "column"), "word")
-    numbered = met.where("hot IS NOT NULL").select("shard", "at", F.col("hot").alias("column")).unionByName(rare.select("shard", "at", "column"))
-    numbers = numbered.groupBy("shard").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "column"))), lambda x: x["column"]).alias("numbers"))
-    # A shard without any word has no numbers.
-    shards = local.drop("vocabulary").join(numbers, "shard", "left").withColumn("columns", F.transform("local", lambda k: F.col("numbers")[k]))
-    return stored(shards.drop("local", "numbers").withColumn("columns", F.coalesce("columns", F.array().cast("array<long>")))), dictionary
+    with small_batches(docs.sparkSession):
+        shards = stored(docs.select("doc_id", "part", "text").mapInArrow(lambda batches: _shards(batches, number), _KIND))
+    words = shards.select("shard", F.posexplode(F.arrays_zip("numbers", "vocabulary")).alias("at", "w")).select("shard", "at", F.col("w.numbers").alias("number"), F.col("w.vocabulary").alias("word"))
+    dictionary = stored(words.groupBy("number", "word").agg(F.count(F.lit(1)).alias("n_shards")))
+    shared = stored(dictionary.groupBy("number").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("number"))
+    shards = shards.drop("vocabulary")
+    if shared.isEmpty():
+        return shards, dictionary
+    apart = stored(dictionary.join(shared, "number").select("number", "word", (-1 - F.monotonically_increasing_id()).alias("apart")))
+    renumbered = F.coalesce("apart", "number")
+    told = words.join(apart, ["number", "word"], "left").groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("at", renumbered.alias("number"))))["number"].alias("told"))
+    shards = shards.join(told, "shard", "left").withColumn("numbers", F.coalesce("told", "numbers")).drop("told")
+    return stored(shards), dictionary.join(apart, ["number", "word"], "left").select(renumbered.alias("number"), "word", "n_shards")
 
 
 def _row_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(batch.num_rows):
-            one = {name: batch.column(name)[k].values for name in batch.schema.names}
-            indptr = one["indptr"].to_numpy()
-            entries, sums = np.diff(indptr), np.diff(np.concatenate([[0], np.cumsum(one["counts"].to_numpy(), dtype=np.int64)])[indptr])
-            assert len(one["columns"]) == indptr[-1], "a stored entry without a column"
-            yield pa.RecordBatch.from_arrays([*(one[c] for c in _CARRIED), pa.array(sums, pa.int64()), pa.array(entries, pa.int64())], names=[*_CARRIED, "n_words", "n_distinct"])
-
-
-_CARRIED = ("doc_id", "part", "capitals", "n_chars", "marked", "digest")
+            own = {name: batch.column(name)[k].values for name in batch.schema.names}
+            indptr = own["indptr"].to_numpy()
+            upto = np.concatenate([[0], np.cumsum(own["counts"].to_numpy(), dtype=np.int64)])
+            yield pa.RecordBatch.from_arrays([*(own[c] for c in _CARRIED), pa.array(np.diff(upto[indptr])), pa.array(np.diff(indptr))], names=[*_CARRIED, "n_words", "n_distinct"])
 
 
 def measured(shards: DataFrame) -> DataFrame:
-    """A row a document of the matrix: doc_id, part, n_words (row sum), n_distinct (stored entries), capitals, n_chars, marked, digest."""
+    """A row a document of the matrix: doc_id, part, capitals, n_chars, marked, digest, n_words (row sum), n_distinct (stored entries)."""
     kind = "doc_id long, part string, capitals long, n_chars long, marked boolean, digest binary, n_words long, n_distinct long"
-    return shards.select(*_CARRIED, "indptr", "columns", "counts").mapInArrow(_row_sums, kind)
+    return shards.select(*_CARRIED, "indptr", "counts").mapInArrow(_row_sums, kind)
 
 
 def failures(rows: DataFrame, labels: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import decontaminate, exact_dedup, filter_audit, language_id, license_scan, line_dedup, lm_score, mixture, pii, simhash_dedup, token_count, toxicity
+from tallyframe.llm import decontaminate, exact_dedup, filter_audit, language_id, lexical_search, license_scan, line_dedup, lm_score, mixture, pii, simhash_dedup, token_count, toxicity
 from tallyframe.llm.common import table
 
 
@@ -61,5 +61,9 @@ def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_license_scan": op1_license_scan, "op2_token_count": op2_token_count, "op3_mixture": op3_mixture, "op4_simhash": op4_simhash, "op5_lm_score": op5_lm_score, "op6_decontaminate": op6_decontaminate, "op7_exact_dedup": op7_exact_dedup, "op8_line_dedup": op8_line_dedup, "op9_language_id": op9_language_id, "op10_toxicity": op10_toxicity, "op11_filter_audit": op11_filter_audit, "op12_pii": op12_pii}
-ORACLES = {"op7_exact_dedup": exact_dedup.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op11_filter_audit": filter_audit.ORACLE}
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op1_license_scan": op1_license_scan, "op2_token_count": op2_token_count, "op3_mixture": op3_mixture, "op4_simhash": op4_simhash, "op5_lm_score": op5_lm_score, "op6_decontaminate": op6_decontaminate, "op7_exact_dedup": op7_exact_dedup, "op8_line_dedup": op8_line_dedup, "op9_language_id": op9_language_id, "op10_toxicity": op10_toxicity, "op11_filter_audit": op11_filter_audit, "op12_pii": op12_pii, "op13_lexical_search": op13_lexical_search}
+ORACLES = {"op7_exact_dedup": exact_dedup.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op11_filter_audit": filter_audit.ORACLE, "op13_lexical_search": lexical_search.ORACLE}

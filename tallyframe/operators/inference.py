@@ -7,6 +7,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.functions.joins import join_null_safe
 from tallyframe.plans.session import stored
 
 
@@ -37,16 +38,16 @@ def uniform_within(options: DataFrame, group: str, total: str, delta: float) ->
     """options with p: uniform over those of the group within delta of its best total. Bests are joined, not windowed."""
     best = options.groupBy(group).agg(F.max(total).alias("__best"))
     near = F.col("__best") - F.col(total) <= delta + 1e-9
-    marked = options.join(best, group).withColumn("__near", near.cast("int"))
+    marked = join_null_safe(options, best, [group]).withColumn("__near", near.cast("int"))
     n = marked.groupBy(group).agg(F.sum("__near").alias("__n"))
-    return marked.join(n, group).withColumn("p", F.round(F.col("__near") / F.col("__n"), 6)).drop("__best", "__near", "__n")
+    return join_null_safe(marked, n, [group]).withColumn("p", F.round(F.col("__near") / F.col("__n"), 6)).drop("__best", "__near", "__n")
 
 
 def routing_weights(issues: DataFrame, case: str, queue: str, weight: Column) -> DataFrame:
     """case, queue, p: the weights of a case's issues by queue, normalised."""
     by = issues.groupBy(case, queue).agg(F.sum(weight).cast("double").alias("w"))
     total = by.groupBy(case).agg(F.sum("w").alias("t"))
-    return by.join(total, case).select(case, queue, F.round(F.col("w") / F.col("t"), 6).alias("p"))
+    return join_null_safe(by, total, [case]).select(case, queue, F.round(F.col("w") / F.col("t"), 6).alias("p"))
 
 
 def naive_bayes(rows: DataFrame, key: str, label: str, features: list[str], smoothing: float = 1.0) -> DataFrame:
@@ -82,8 +83,8 @@ def closure(facts: DataFrame, rules: DataFrame) -> DataFrame:
     """node, fact, authority: forward chaining to the fixed point; a fact's authority is the best over its derivations
     of the weakest part of each (max-min).
 
-    facts: entity, pred, authority. rules: body (a predicate), head, authority, link (null: same entity; else the edge
-    name over which the head's entity is reached). Each round joins what changed with the rules and is written.
+    facts: entity, pred, authority. rules: body (a predicate), head, authority. Each round joins what changed with the
+    rules and is written. Rules that bind several parts or have exceptions are for forward_chain.
     """
     known = stored(facts.groupBy("entity", "pred").agg(F.max("authority").alias("authority")))
     fresh = known
@@ -101,8 +102,12 @@ def closure(facts: DataFrame, rules: DataFrame) -> DataFrame:
 Literal = tuple[str, bool]
 
 
+def literal(x: Literal) -> Column:
+    return F.struct(F.lit(x[0]).alias("pred"), F.lit(x[1]).alias("pos"))
+
+
 def forward_chain(facts: DataFrame, rules: list[dict], known: str = "known") -> DataFrame:
-    """entity, known: for every entity the authority of each literal that follows, as a map of `pred` or `not pred`.
+    """entity, known: for every entity the authority of each literal that follows, as a map of struct(pred, pos).
 
     facts: entity, pred, pos, authority. rules: body (literals that must all be known), head, unless (predicates that
     must not be), quant; rules whose quant isn't all, no or None license nothing about one entity. A conclusion has the
@@ -115,9 +120,8 @@ def forward_chain(facts: DataFrame, rules: list[dict], known: str = "known") ->
     live = [r for r in rules if r.get("quant") in ("all", "no", None)]
     names = sorted({x for r in live for x in [*r["body"], r["head"], *((u, True) for u in r.get("unless", []))]})
     at = {x: i for i, x in enumerate(names)}
-    label = lambda x: x[0] if x[1] else f"not {x[0]}"
-    literal = F.concat(F.when(F.coalesce("pos", F.lit(True)), "").otherwise("not "), F.col("pred"))
-    best = facts.groupBy("entity", literal.alias("literal")).agg(F.max(F.coalesce("authority", F.lit(1)).cast("int")).alias("authority"))
+    own = F.struct(F.col("pred"), F.coalesce("pos", F.lit(True)).alias("pos"))
+    best = facts.groupBy("entity", own.alias("literal")).agg(F.max(F.coalesce("authority", F.lit(1)).cast("int")).alias("authority"))
     rows = best.groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct("literal", "authority"))).alias("given"))
     if not live:
         return rows.withColumnRenamed("given", known)
@@ -132,13 +136,14 @@ def forward_chain(facts: DataFrame, rules: list[dict], known: str = "known") ->
         allowed = ~F.exists(parts, lambda p: p.isNull()) & ~F.exists(r["unless"], lambda u: F.element_at(state, u + 1).isNotNull())
         return F.when(allowed, F.transform(state, lambda x, i: F.when(i == r["head"], F.greatest(x, F.array_min(parts))).otherwise(x))).otherwise(state)
 
-    start = F.array(*[F.try_element_at("given", F.lit(label(x))) for x in names])
-    derived = F.map_filter(F.map_from_arrays(F.array(*[F.lit(label(x)) for x in names]), F.aggregate(order, start, fire)), lambda _, v: v.isNotNull())
-    other = F.map_filter("given", lambda k, _: ~k.isin(*[label(x) for x in names]))
+    named = F.array(*[literal(x) for x in names])
+    start = F.array(*[F.try_element_at("given", literal(x)) for x in names])
+    derived = F.map_filter(F.map_from_arrays(named, F.aggregate(order, start, fire)), lambda _, v: v.isNotNull())
+    other = F.map_filter("given", lambda k, _: ~F.array_contains(named, k))
     return rows.select("entity", F.map_concat(other, derived).alias(known))
 
 
 def verdict(known: Column, pred: str, pos: bool = True) -> Column:
     """entailed, contradicted or unknown for a claim: of claim and denial the one of more authority counts, equal ones cancel."""
-    yes, no = (F.coalesce(F.try_element_at(known, F.lit(name)), F.lit(-1)) for name in ((pred, f"not {pred}") if pos else (f"not {pred}", pred)))
+    yes, no = (F.coalesce(F.try_element_at(known, literal((pred, side))), F.lit(-1)) for side in (pos, not pos))
     return F.when(yes > no, "entailed").when(no > yes, "contradicted").otherwise("unknown")

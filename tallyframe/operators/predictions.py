@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import probability as P
+from tallyframe.functions.joins import join_null_safe
 
 
 def from_events(events: DataFrame, perm: int = 0) -> DataFrame:
@@ -195,7 +196,7 @@ def advantage_weights(rows: DataFrame, family: str, temperature: float = 0.2, cl
     """id, weight: exp of a row's reward (1 - brier) over its family's mean, clipped. Means are joined, not windowed."""
     base = rows.groupBy(family).agg(F.avg(1 - F.col("brier")).alias("base"))
     weight = F.least(F.exp((1 - F.col("brier") - F.col("base")) / temperature), F.lit(clip))
-    return rows.join(base, family).select("id", family, _r(weight).alias("weight"))
+    return join_null_safe(rows, base, [family]).select("id", family, _r(weight).alias("weight"))
 
 
 def auroc(rows: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import text as T
+from tallyframe.functions.joins import join_null_safe
 
 
 def first_by_hash(rows: DataFrame, group: str, key: str, seed: str, most: int) -> DataFrame:
@@ -26,7 +27,7 @@ def diversity_cap(docs: DataFrame, pack: str, easy: Column, ratio: float = 0.6)
 
 def mixture_balance(rows: DataFrame, family: str, split: str, shares: dict[str, float]) -> DataFrame:
     """family, split, available, keep: shares renormalised over the families that have rows, the total bound by the
-    scarcest family, each split's part rounded half to even."""
+    scarcest family, each split's part rounded half to even. A null family has no share, so it is left out."""
     target = F.element_at(F.create_map(*[x for k, v in shares.items() for x in (F.lit(k), F.lit(v))]), F.col(family))
     cells = rows.groupBy(family, split).agg(F.count(F.lit(1)).alias("available"))
     fam = cells.groupBy(family).agg(F.sum("available").alias("have")).withColumn("share", target).where("share > 0")
@@ -61,7 +62,7 @@ def label_quota(rows: DataFrame, split: str, label: str, key: str, factor: float
     """rows kept under a label cap of ceil(n / k * factor) in each split, in the order of the key."""
     sized = rows.groupBy(split).agg(F.ceil(F.count(F.lit(1)) / F.count_distinct(label) * factor).alias("cap"))
     rank = F.row_number().over(Window.partitionBy(split, label).orderBy(key))
-    return rows.withColumn("rank", rank).join(sized, split).where(F.col("rank") <= F.col("cap")).drop("cap", "rank")
+    return join_null_safe(rows.withColumn("rank", rank), sized, [split]).where(F.col("rank") <= F.col("cap")).drop("cap", "rank")
 
 
 def permuted_options(rows: DataFrame, key: str, options: list[str], copies: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import text as T
+from tallyframe.functions.joins import join_null_safe
 from tallyframe.plans.session import stored
 
 
@@ -58,17 +59,18 @@ def similar_pairs(sets: DataFrame, pack: str, threshold: float) -> DataFrame:
     """
     sets = stored(sets)
     df = sets.select(pack, F.explode("set").alias("s")).groupBy(pack, "s").count()
-    ranked = sets.select("rep", pack, F.explode("set").alias("s")).join(df, [pack, "s"])
+    ranked = join_null_safe(sets.select("rep", pack, F.explode("set").alias("s")), df, [pack, "s"])
     ordered = ranked.groupBy(pack, "rep").agg(F.array_sort(F.collect_list(F.struct("count", "s"))).alias("o"))
     size = F.size("o")
     prefix = ordered.select("rep", pack, size.alias("n"), F.explode(F.slice("o", F.lit(1), (size - F.ceil(size * F.lit(threshold) - 1e-9) + 1).cast("int"))).alias("x"))
     left = prefix.select(pack, F.col("x.s").alias("s"), F.col("rep").alias("id_a"), F.col("n").alias("n_a"))
     right = prefix.select(pack, F.col("x.s").alias("s"), F.col("rep").alias("id_b"), F.col("n").alias("n_b"))
     fits = (F.col("id_a") < F.col("id_b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(threshold) - 1e-9)
-    candidates = left.join(right, [pack, "s"]).where(fits).select(pack, "id_a", "id_b").distinct()
+    candidates = join_null_safe(left, right, [pack, "s"]).where(fits).select(pack, "id_a", "id_b").distinct()
     a = sets.select(F.col("rep").alias("id_a"), pack, F.col("set").alias("set_a"))
     b = sets.select(F.col("rep").alias("id_b"), pack, F.col("set").alias("set_b"))
-    return candidates.join(a, [pack, "id_a"]).join(b, [pack, "id_b"]).select(pack, "id_a", "id_b", T.jaccard(F.col("set_a"), F.col("set_b")).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    met = join_null_safe(join_null_safe(candidates, a, [pack, "id_a"]), b, [pack, "id_b"])
+    return met.select(pack, "id_a", "id_b", T.jaccard(F.col("set_a"), F.col("set_b")).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
 def greedy_kept(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -177,7 +179,7 @@ def isolation_report(docs: DataFrame, family: str) -> DataFrame:
     keyed = exact_keys(docs)
     shared = keyed.groupBy(family, "key").agg(F.count_distinct("split").alias("s")).where("s > 1").groupBy(family).agg(F.count(F.lit(1)).alias("shared_keys"))
     report = keyed.groupBy(family).agg(F.count_distinct("split").alias("splits"), F.bool_or(F.col("split") == "train").alias("in_train"))
-    return report.join(shared, family, "left").select(family, "splits", "in_train", F.coalesce("shared_keys", F.lit(0)).alias("shared_keys"))
+    return join_null_safe(report, shared, [family], "left").select(family, "splits", "in_train", F.coalesce("shared_keys", F.lit(0)).alias("shared_keys"))
 
 
 def token_set_matches(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:

@@ -26,11 +26,12 @@ def _codes(*codes: Column) -> Column:
 def kind(value: Column) -> Column:
     """string, integer, number, boolean, array, object or null for a variant; no value at all for an absent one.
 
-    Numbers with a point or an exponent, and integers beyond 64 bits, are `number`.
+    Numbers with a point or an exponent are `number`. Integers beyond 64 bits are decimals of 19 to 38 digits without a
+    fraction; a number as long whose fraction is zero is taken for one of them, longer ones are `number`.
     """
     name = F.schema_of_variant(value)
     return (
-        F.when(name == "BIGINT", "integer").when(name == "STRING", "string").when(name == "BOOLEAN", "boolean").when(name == "VOID", "null")
+        F.when((name == "BIGINT") | name.rlike(r"^DECIMAL\((19|2\d|3[0-8]),0\)$"), "integer").when(name == "STRING", "string").when(name == "BOOLEAN", "boolean").when(name == "VOID", "null")
         .when(name.startswith("ARRAY"), "array").when(name.startswith("OBJECT"), "object").when(name.isNotNull(), "number")
     )
 
@@ -66,8 +67,9 @@ def argument_issues(arguments: Column, required: list[str], types: dict[str, str
 
 def path_traversal(arguments: Column) -> Column:
     """Does a text among the top values of a JSON object leave the allowed folders? False for what can't be parsed."""
-    values = F.map_values(F.from_json(arguments, "map<string,string>"))
-    return F.coalesce(F.exists(values, lambda x: F.coalesce(x.rlike(TRAVERSAL), F.lit(False))), F.lit(False))
+    values = F.map_values(F.try_variant_get(F.try_parse_json(arguments), "$", "map<string,variant>"))
+    text = lambda x: F.when(kind(x) == "string", F.try_variant_get(x, "$", "string"))
+    return F.coalesce(F.exists(values, lambda x: F.coalesce(text(x).rlike(TRAVERSAL), F.lit(False))), F.lit(False))
 
 
 def _under(place: Column, errors: Column) -> Column:
@@ -92,7 +94,7 @@ def schema_errors(value: Column, schema: dict) -> Column:
 
 
 #: What a field's format has to look like as a whole.
-FORMATS = {"email": r"^[^@\s]+@[^@\s]+\.[a-z]+$", "date": r"^\d{4}-\d{2}-\d{2}$"}
+FORMATS = {"email": r"\A[^@\s]+@[^@\s]+\.[a-z]+\z", "date": r"\A\d{4}-\d{2}-\d{2}\z"}
 
 
 def row_valid(record: Column, spec: dict[str, dict]) -> Column:
@@ -117,11 +119,15 @@ def row_valid(record: Column, spec: dict[str, dict]) -> Column:
     return F.coalesce(reduce(lambda a, b: a & b, checks), F.lit(False))
 
 
+def _all_codes(checks: list[Column]) -> Column:
+    return F.concat(*checks)
+
+
 def with_reasons(rows: DataFrame, checks: list[Column]) -> DataFrame:
     """rows with `reasons`: the codes of all checks (arrays of text) in order. Clean rows have none."""
-    return rows.withColumn("reasons", F.concat(*checks))
+    return rows.withColumn("reasons", _all_codes(checks))
 
 
 def clean(rows: DataFrame, checks: list[Column]) -> DataFrame:
     """The rows that no check has a code for: what is left when a written dataset is validated again."""
-    return with_reasons(rows, checks).where(F.size("reasons") == 0).drop("reasons")
+    return rows.where(F.size(_all_codes(checks)) == 0)

@@ -140,7 +140,7 @@ def rule_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
         fact("late", False, F.col("o_orderstatus") == "F", F.lit(4)), fact("ship", True, F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") % 4 + 1),
     ))
     known = inference.forward_chain(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("entity"), F.inline(given)), _RULES)
-    return known.select(F.col("entity").alias("o_orderkey"), F.try_element_at("known", F.lit("hold")).alias("hold_authority"), inference.verdict(F.col("known"), "ship").alias("may_ship"))
+    return known.select(F.col("entity").alias("o_orderkey"), F.try_element_at("known", inference.literal(("hold", True))).alias("hold_authority"), inference.verdict(F.col("known"), "ship").alias("may_ship"))
 
 
 @query("""WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, o_orderkey % 4 AS k, o_custkey % 2 = 0 AS roll, o_custkey % 3 = 0 AS less FROM orders), m AS (SELECT *, CAST(d + INTERVAL 7 MONTH AS DATE) AS c FROM o)

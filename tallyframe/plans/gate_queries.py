@@ -107,7 +107,7 @@ SELECT event_id, CASE WHEN NOT available AND alternative THEN 'choose_alternativ
 WHEN failed_before AND alternative THEN 'choose_alternative' WHEN failed_before THEN 'repair_arguments' WHEN issues <> '' THEN 'repair_arguments' WHEN writes_outside AND NOT approved THEN 'require_confirmation' ELSE 'allow' END AS route FROM x""")
 def gate_tool_action(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = columns("available", "alternative", "sensitive", "external", "tenant", "session_tenant", "failed_before", "writes_outside", "approved")
-    return calls(spark, sf_dir, *_TOOL).select("event_id", G.tool_action({**f, "traversal": V.path_traversal(F.col("args")), "issues": _issues()}).alias("route"))
+    return calls(spark, sf_dir, *_TOOL).select("event_id", G.tool_action({**f, "traversal": V.path_traversal(F.col("args")), "issues": _issues()})["route"].alias("route"))
 
 
 _RETRIEVAL = ("event_id % 10 = 0 AS key_missing", "event_id % 12 = 1 AS conflicting", "user_id % 3 = 0 AS in_context", "CAST(ts AS DATE) AS context_date", "DATE '2024-02-15' AS today", "event_id % 2 = 0 AS fresh", "25 AS max_age", "event_type = 'view' AS public", "user_id % 2 = 0 AS network")
@@ -120,7 +120,7 @@ def gate_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One source as old as the context and one of the year before, which only serves where freshness doesn't matter."""
     sources = "array(struct(user_id % 5 = 0 AS covers, CAST(ts AS DATE) AS modified, user_id % 4 < 3 AS mounted, user_id % 4 < 2 AS readable, user_id % 3 = 1 AS indexed), struct(user_id % 7 = 0 AS covers, DATE '2023-01-01' AS modified, false AS mounted, true AS readable, true AS indexed)) AS sources"
     rows = facts(spark, sf_dir, "events", "event_id", *_RETRIEVAL, sources)
-    return rows.select("event_id", G.retrieval(columns(*rows.columns)).alias("route"))
+    return rows.select("event_id", G.retrieval(columns(*rows.columns))["route"].alias("route"))
 
 
 _TERMINATION = ("event_id % 20 = 0 AS input_missing", "CASE WHEN event_type = 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'permanent_env' ELSE 'transient' END END AS error", "user_id % 4 AS retries", "2 AS budget", "event_id % 7 <> 0 AS exists", "event_id % 9 <> 0 AS nonempty", "event_id % 11 <> 0 AS schema_valid", "CASE WHEN user_id % 3 > 0 THEN user_id % 5 END AS tests_failed", "event_id % 13 = 0 AS conflict", "user_id % 6 AS covered", "3 AS total")
@@ -130,7 +130,7 @@ _TERMINATION = ("event_id % 20 = 0 AS input_missing", "CASE WHEN event_type = 'e
 WHEN NOT "exists" AND retries < budget THEN 'retry' WHEN NOT "exists" THEN 'escalate' WHEN NOT nonempty THEN 'repair' WHEN NOT schema_valid THEN 'repair' WHEN tests_failed > 0 THEN 'repair' WHEN conflict THEN 'escalate' WHEN covered < total THEN 'continue' ELSE 'finish' END AS route FROM f""".replace("AS exists", 'AS "exists"'))
 def gate_termination(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = facts(spark, sf_dir, "events", "event_id", *_TERMINATION)
-    return rows.select("event_id", G.termination(columns(*rows.columns)).alias("route"))
+    return rows.select("event_id", G.termination(columns(*rows.columns))["route"].alias("route"))
 
 
 _SUFFICIENCY = ("event_id % 17 = 0 AS ambiguous", "event_id % 19 = 0 AS contradicts", "user_id % 23 = 0 AS conflicting", "event_id % 13 = 0 AS unsupported", "event_id % 11 <> 0 AS citations_valid", "event_id % 7 <> 0 AS format_ok")
@@ -143,7 +143,7 @@ WHEN (m1 AND NOT c1 AND u1) OR (m2 AND NOT c2 AND u2) THEN 'ask_user' WHEN (m1 A
 def gate_sufficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
     needed = ", ".join(f"struct({a} AS in_answer, {c} AS in_context, CASE WHEN {u} THEN 'user' ELSE 'system' END AS owner, {r} AS retrievable)" for a, c, u, r in _FACT)
     rows = facts(spark, sf_dir, "events", "event_id", *_SUFFICIENCY, f"array({needed}) AS facts")
-    return rows.select("event_id", G.sufficiency(columns(*rows.columns)).alias("route"))
+    return rows.select("event_id", G.sufficiency(columns(*rows.columns))["route"].alias("route"))
 
 
 _INJECTION = ("event_id % 3 > 0 AS present", "event_id % 7 = 0 AS quoted", "user_id % 2 = 0 AS trusted", "event_type IN ('purchase', 'signup') AS side_effect", "event_id % 5 = 0 AS approved", "CASE event_type WHEN 'purchase' THEN 'exfiltration' WHEN 'error' THEN 'secret' ELSE 'tool_use' END AS target")
@@ -153,7 +153,7 @@ _INJECTION = ("event_id % 3 > 0 AS present", "event_id % 7 = 0 AS quoted", "user
 WHEN target = 'tool_use' THEN 'ignore_untrusted_instruction' ELSE 'block_and_escalate' END AS route FROM f""")
 def gate_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = facts(spark, sf_dir, "events", "event_id", *_INJECTION)
-    return rows.select("event_id", G.injection(columns(*rows.columns)).alias("route"))
+    return rows.select("event_id", G.injection(columns(*rows.columns))["route"].alias("route"))
 
 
 _KINDS = ("clean_neutral", "clean_heated", "clean_profanity_no_target", "spam", "harassment_mild", "harassment_severe", "scam_mild", "scam_severe", "self_harm_signal", "other")
@@ -184,7 +184,7 @@ def document_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
         "map_from_entries(filter(array(CASE WHEN o_orderkey % 2 = 0 THEN struct('fee' AS a, o_orderstatus AS b) END, CASE WHEN o_orderkey % 3 > 0 THEN struct('due' AS a, o_orderpriority AS b) END), x -> x IS NOT NULL)) AS covers",
         "array('fee', 'due') AS asked", "o_custkey % 3 AS authority", "array(struct('fee' AS attribute, 'F' AS value, 1 AS authority)) AS notes",
     )
-    return rows.select("o_orderkey", G.relevance(columns(*rows.columns)).alias("verdict"))
+    return rows.select("o_orderkey", G.relevance(columns(*rows.columns))["route"].alias("verdict"))
 
 
 @query("""WITH f AS (SELECT o_orderkey, o_orderkey % 9 = 0 AS amb, o_orderkey % 4 = 0 AS wrong, o_orderkey % 7 = 0 AS extra, o_orderkey % 5 = 0 AS empty FROM orders)

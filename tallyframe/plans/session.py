@@ -4,10 +4,28 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+class Registry:
+    """The queries of a module and their SQL twins, by the name of the function."""
+
+    def __init__(self):
+        self.queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+        self.oracles: dict[str, str] = {}
+
+    def query(self, sql: str | None = None):
+        def register(f):
+            self.queries[f.__name__] = f
+            if sql:
+                self.oracles[f.__name__] = sql
+            return f
+
+        return register
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -24,7 +24,7 @@ def test_codes_of_odd_records(spark):
 def test_null_facts_hold_nothing(spark):
     none = F.lit(None).cast("boolean")
     row = spark.range(1).select(G.injection({"present": none, "quoted": none, "trusted": none, "side_effect": none, "approved": none, "target": F.lit(None).cast("string")}).alias("r"), G.manipulation(none).alias("m"), G.moderation(F.lit(None).cast("string")).alias("k")).first()
-    assert tuple(row) == ("ignore_untrusted_instruction", False, None)
+    assert (row.r.route, row.r.reason, row.m, row.k) == ("safe_data", "no_live_embedded_instruction", False, None)
 
 
 def test_first_in_order_with_null_groups_and_ties(spark):
@@ -42,6 +42,12 @@ def test_holdout_is_exact(spark):
         assert len(got) == n and sum(r.held_out for r in got) == int(share * n)
 
 
+def known_apart(spark):
+    """A predicate called `not a` and the denial of `a` are two literals."""
+    facts = spark.createDataFrame([(1, "not a", True, 2), (1, "a", False, 5)], "entity long, pred string, pos boolean, authority int")
+    return inference.forward_chain(facts, [{"body": [("b", True)], "head": ("c", True)}]).first().known
+
+
 def test_closure_against_a_loop(spark):
     random.seed(5)
     preds = "abcdef"
@@ -59,9 +65,10 @@ def test_closure_against_a_loop(spark):
                 for r in part:
                     if all(b in known for b in r["body"]) and not any((u, True) in known for u in r["unless"]):
                         known[r["head"]] = max(known.get(r["head"], -1), min(known[b] for b in r["body"]))
-        return {p if pos else f"not {p}": a for (p, pos), a in known.items()}
+        return known
 
-    got = {r.entity: r.known for r in inference.forward_chain(spark.createDataFrame(facts, "entity long, pred string, pos boolean, authority int"), rules).collect()}
+    got = {r.entity: {(k.pred, k.pos): a for k, a in r.known.items()} for r in inference.forward_chain(spark.createDataFrame(facts, "entity long, pred string, pos boolean, authority int"), rules).collect()}
+    assert len(known_apart(spark)) == 2
     by = {}
     for e, p, pos, a in facts:
         by.setdefault(e, {})[p, pos] = a

@@ -27,8 +27,10 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = RECORD, strict: boo
 
 
 def write_jsonl(rows: DataFrame, path: str, append: bool = False) -> None:
-    """Columns in alphabetical order; nulls are left out, non-ASCII stays."""
-    rows.select(*sorted(rows.columns)).write.mode("append" if append else "errorifexists").json(path)
+    """Columns and their fields in alphabetical order; nulls are left out, non-ASCII stays."""
+    from tallyframe.sources.runs import in_order
+
+    in_order(rows).write.mode("append" if append else "errorifexists").json(path)
 
 
 def preferred(truth: str = "truth") -> Column:
@@ -58,20 +60,6 @@ def flat(records: DataFrame) -> DataFrame:
     )
 
 
-def write_run(records: DataFrame, rejected: DataFrame, path: str) -> None:
-    """A run: accepted records by split, rejected rows, and both counts; one pass for each output."""
-    flat(records).write.partitionBy("split").parquet(f"{path}/accepted")
-    rejected.write.parquet(f"{path}/rejected")
-    counts = records.groupBy("split").count().unionByName(rejected.select(F.lit("rejected").alias("split")).groupBy("split").count())
-    counts.write.option("header", True).csv(f"{path}/report")
-
-
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """file, bytes, sha256 of every file under the path, `raw/` left out; hashed where the files are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.where(~F.col("path").contains("/raw/")).select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-
-
 def config_hash(config: dict) -> str:
     """First sixteen hex digits of the SHA-256 of the canonical JSON."""
     return hashlib.sha256(json.dumps(config, sort_keys=True, separators=(",", ":"), ensure_ascii=False, default=str).encode()).hexdigest()[:16]

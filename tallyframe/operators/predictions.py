@@ -199,40 +199,12 @@ def advantage_weights(rows: DataFrame, family: str, temperature: float = 0.2, cl
     return join_null_safe(rows, base, [family]).select("id", family, _r(weight).alias("weight"))
 
 
-def auroc(rows: DataFrame) -> DataFrame:
-    """Of confidence for correctness by the rank-sum formula; ties are ranked by id.
-
-    Ranks without a global window: rows are counted by confidence bucket, and ranked within a bucket.
-    """
-    bucket = F.floor(F.col("conf") * 2000)
-    keyed = rows.select("id", "conf", "correct", bucket.alias("b"))
-    sizes = keyed.groupBy("b").agg(F.count(F.lit(1)).alias("k"))
-    base = sizes.select("b", (F.sum("k").over(Window.orderBy("b")) - F.col("k")).alias("base"))
-    ranked = keyed.join(base, "b").withColumn("rank", F.col("base") + F.row_number().over(Window.partitionBy("b").orderBy(F.round("conf", 12), "id")))
-    n1, n0 = F.sum("correct"), F.sum(1 - F.col("correct"))
-    area = F.try_divide(F.sum(F.col("rank") * F.col("correct")) - n1 * (n1 + 1) / 2, n1 * n0)
-    return ranked.agg(n1.alias("positives"), n0.alias("negatives"), _r(F.coalesce(area, F.lit(0.0))).alias("auroc"))
-
-
 def wilson_routes(runs: DataFrame, route: str, success: Column, z: float = 1.645, need: float = 0.0) -> DataFrame:
     by = runs.groupBy(route).agg(F.count(F.lit(1)).alias("runs"), F.sum(success.cast("int")).alias("successes"))
     lower = P.wilson_lower(F.col("successes").cast("double"), F.col("runs").cast("double"), z)
     return by.select(route, "runs", "successes", _r(F.col("successes") / F.col("runs")).alias("rate"), _r(lower).alias("lower_bound"), (lower >= need).alias("accepted"))
 
 
-def latency(rows: DataFrame, value: str, by: str) -> DataFrame:
-    """n, p50 (median), p95 (nearest lower: the value at index int(0.95 (n - 1))), mean of each group.
-
-    percentile() interpolates between the neighbours, so at a whole index it gives the value itself.
-    """
-    n = F.count(F.lit(1))
-    sized = rows.groupBy(by).agg(n.alias("n"), F.percentile(value, F.lit(0.5)).alias("p50"), F.avg(value).alias("mean"))
-    counted = rows.groupBy(by, value).agg(F.count(F.lit(1)).alias("k"))
-    upto = counted.withColumn("upto", F.sum("k").over(Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
-    p95 = upto.join(sized.select(by, "n"), by).where(F.col("upto") > F.floor(F.lit(0.95) * (F.col("n") - 1))).groupBy(by).agg(F.min(value).alias("p95"))
-    return sized.join(p95, by).select(by, "n", _r(F.col("p50")).alias("p50"), _r(F.col("p95")).alias("p95"), _r(F.col("mean")).alias("mean"))
-
-
 def temperature_grid(rows: DataFrame, grid: list[float], *by: str) -> DataFrame:
     """temperature, nll of each grid point (and group), in one aggregate over all of them."""
     points = rows.withColumn("temperature", F.explode(F.array(*[F.lit(float(t)) for t in grid])))

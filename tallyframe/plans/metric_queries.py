@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.functions import probability as P
+from tallyframe.operators import order_stats
 from tallyframe.operators import predictions as M
 from tallyframe.plans.session import table
 
@@ -250,14 +251,14 @@ def wilson_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(V + """, r AS (SELECT correct, row_number() OVER (ORDER BY floor(conf * 2000), round(conf, 12), id) AS rank FROM pr), rs AS (SELECT sum(correct) AS n1, sum(1 - correct) AS n0, sum(rank * correct) AS rs FROM r)
 SELECT CAST(n1 AS BIGINT) AS positives, CAST(n0 AS BIGINT) AS negatives, round(coalesce((rs - n1 * (n1 + 1) / 2) / nullif(n1 * n0, 0), 0.0), 6) AS auroc FROM rs""")
 def auroc_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.auroc(rows_of(spark, sf_dir))
+    return order_stats.auroc(rows_of(spark, sf_dir), [F.floor(F.col("conf") * 2000), F.round("conf", 12), F.col("id")])
 
 
 @query("""
 WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
 SELECT event_type, CAST(max(n) AS BIGINT) AS n, round(median(value), 6) AS p50, round(max(value) FILTER (WHERE i = floor(0.95 * (n - 1))), 6) AS p95, round(avg(value), 6) AS mean FROM r GROUP BY event_type""")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.latency(table(spark, sf_dir, "events"), "value", "event_type")
+    return order_stats.latency(table(spark, sf_dir, "events"), "value", "event_type")
 
 
 @query(V + """, n AS (SELECT id, slice, floor(id % 2000 / 500) AS band, conf, correct, brier FROM pr), b AS (SELECT band, least(9, CAST(floor(conf * 10) AS INT)) AS bin, count(*) AS n, abs(avg(conf) - avg(correct)) AS gap FROM n GROUP BY ALL)

@@ -171,10 +171,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).where("text <> ''")
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("edits", pa.int32()), ("n_words", pa.int32()), ("last_word", pa.int64())])
     kind = "doc_id long, item_id long, distance int, edits int, n_words int, last_word long"
-    found = docs.sparkSession.createDataFrame([], kind)
+    found, part = docs.sparkSession.createDataFrame([], kind), None
     context = docs.sparkSession.sparkContext
     for ids, words in _blocks(benchmark):
-        found = found.unionByName(docs.mapInArrow(_matcher(secrets.randbits(62), context.broadcast((ids, words)), similarity, schema), kind))
+        # Blocks run one after the other: what an earlier one found is written before the next is broadcast.
+        found = found if part is None else found.unionByName(stored(part))
+        part = docs.mapInArrow(_matcher(secrets.randbits(62), context.broadcast((ids, words)), similarity, schema), kind)
+    found = found if part is None else found.unionByName(part)
     return found.withColumn("similarity", 1 - F.col("distance") / F.col("n_words")).select("doc_id", "item_id", "distance", "edits", "similarity", "last_word")
 
 
@@ -192,11 +195,24 @@ def _matcher(key: int, shared, similarity: float, schema: pa.Schema):
     return matched
 
 
+def _filter(key: int, shared, similarity: float):
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, words = shared.value
+        items = _items(key, ids, words, similarity)
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            yield batch.filter(pa.array([not (t and items.matches(t)) for t in texts], pa.bool_()))
+
+    return clean
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents that hold no item, with all their columns. A null doc_id stays.
+    """The rows of docs that hold no item, with all their columns.
 
-    The ids of the others are written first: few as they are, they are then planned as a broadcast, and no document
-    is shuffled to meet them.
+    Each row is judged by its own text, in the pass that reads it: ids may be null, repeated or absent, and nothing is
+    shuffled. Null texts hold nothing and stay. Blocks of items filter one after the other, written in between.
     """
-    leaks = stored(contaminated(docs, benchmark, similarity).select("doc_id").distinct())
-    return docs.join(leaks, "doc_id", "left_anti")
+    context, kept = docs.sparkSession.sparkContext, docs
+    for k, (ids, words) in enumerate(_blocks(benchmark)):
+        kept = (stored(kept) if k else kept).mapInArrow(_filter(secrets.randbits(62), context.broadcast((ids, words)), similarity), docs.schema)
+    return kept

@@ -579,3 +579,18 @@ def test_toxicity_sample_is_bounded(spark, monkeypatch):
     table, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(1500)], "doc_id long, toxic int")
     got = toxicity.toxicity(table, labels).collect()
     assert len(got) == 1500 and np.mean([r.predicted == r.doc_id % 2 for r in got]) > 0.97
+
+
+def test_decontaminate_judges_rows_not_ids(spark, monkeypatch):
+    """A leak without an id goes, a clean row that shares a leak's id stays, in one block of items and in several."""
+    item, other = " ".join(f"w{k}" for k in range(20)), " ".join(f"v{k}" for k in range(20))
+    rows = [(None, f"x {item} y", 1), (None, "clean", 2), (5, f"{other}", 3), (5, "clean too", 4), (6, None, 5), (7, "", 6), (8, item.upper().replace(" ", ", "), 7), (9, " ".join(item.split()[:10]), 8)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, item_id int")
+    bench = spark.createDataFrame([(1, item), (2, other), (3, None), (1, item)], "item_id long, text string")
+    for words in (2_000_000, 5):
+        monkeypatch.setattr(decontaminate, "ITEM_WORDS", words)
+        got = decontaminate.decontaminate(table, bench)
+        assert got.columns == table.columns and sorted(r.item_id for r in got.collect()) == [2, 4, 5, 6, 8]
+        assert sorted((r.doc_id or 0, r.item_id) for r in decontaminate.contaminated(table, bench).collect()) == [(0, 1), (0, 1), (5, 2), (8, 1), (8, 1)]
+    assert decontaminate.decontaminate(table, bench.where("item_id > 9")).count() == len(rows)
+    assert decontaminate.decontaminate(table.where("item_id > 9"), bench).count() == 0

@@ -109,9 +109,9 @@ def fenced_object(c: Column) -> Column:
 
 def judge_cap(rows: DataFrame, order: list[Column], share: float) -> DataFrame:
     """rows with `judged`: the first max(1, int(share n)) in the order given."""
-    numbered = stored(rows.withColumn("row_number", F.monotonically_increasing_id()))
-    first = numbered.orderBy(*order).limit(max(1, int(share * numbered.count()))).select("row_number", F.lit(True).alias("judged"))
-    return numbered.join(first, "row_number", "left").select(*rows.columns, F.coalesce("judged", F.lit(False)).alias("judged"))
+    numbered = stored(rows.withColumn("__row", F.monotonically_increasing_id()))
+    first = numbered.orderBy(*order).limit(max(1, int(share * numbered.count()))).select("__row", F.lit(True).alias("__judged"))
+    return numbered.join(first, "__row", "left").select(*rows.columns, F.coalesce("__judged", F.lit(False)).alias("judged"))
 
 
 def map_batches(rows: DataFrame, schema: str, make: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]) -> DataFrame:

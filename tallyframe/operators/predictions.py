@@ -76,25 +76,39 @@ def macro_f1(rows: DataFrame) -> DataFrame:
     return per_option(rows).agg(_r(F.avg("f1")).alias("macro_f1"), F.count(F.lit(1)).alias("classes"))
 
 
-def thresholds(rows: DataFrame, n: int) -> DataFrame:
-    """Each row with every threshold i / n, i in 0..n-1, inside the row: a generator, not a join."""
-    return rows.withColumn("threshold", F.explode(F.array(*[F.lit(i / n) for i in range(n)])))
+def by_threshold(rows: DataFrame, value: Column, grid: list[float], sums: dict[str, Column]) -> DataFrame:
+    """threshold, and for each sum `name_from` (over rows with that value or more) and `name_below`, for an ascending grid.
+
+    Rows are added up by the step of the grid that they reach, not multiplied by the grid: what meets the thresholds
+    is a row a step. A null value is below every threshold. No rows give no thresholds.
+    """
+    points = F.array(*[F.lit(float(t)) for t in grid])
+    step = F.size(F.filter(points, lambda t: F.coalesce(value >= t, F.lit(False))))
+    steps = rows.groupBy(step.alias("step")).agg(*[F.sum(c).cast("double").alias(k) for k, c in sums.items()])
+    held = steps.agg(F.collect_list(F.struct("step", *sums)).alias("steps")).where(F.size("steps") > 0)
+    at = held.select("steps", F.posexplode(points).alias("at", "threshold"))
+
+    def total(name: str, reached: bool) -> Column:
+        these = F.filter("steps", lambda s: (s["step"] > F.col("at")) if reached else (s["step"] <= F.col("at")))
+        return F.aggregate(these, F.lit(0.0), lambda a, s: a + s[name])
+
+    return at.select("threshold", *[c for k in sums for c in (total(k, True).alias(f"{k}_from"), total(k, False).alias(f"{k}_below"))])
 
 
 def selective_risk(rows: DataFrame, n: int = 20) -> DataFrame:
     """threshold, coverage, risk: the error among rows with at least that confidence; 0 if none."""
-    kept = F.col("conf") >= F.col("threshold")
-    return thresholds(rows, n).groupBy("threshold").agg(
-        _r(F.avg(kept.cast("int"))).alias("coverage"), _r(F.coalesce(F.avg(F.when(kept, 1 - F.col("correct"))), F.lit(0.0))).alias("risk")
-    )
+    t = by_threshold(rows, F.col("conf"), [i / n for i in range(n)], {"n": F.lit(1), "wrong": 1 - F.col("correct")})
+    every = F.col("n_from") + F.col("n_below")
+    return t.select("threshold", _r(F.col("n_from") / every).alias("coverage"), _r(F.coalesce(F.try_divide("wrong_from", "n_from"), F.lit(0.0))).alias("risk"))
 
 
 def cost_quality(rows: DataFrame, costs: list[int], fallback: int, n: int = 11) -> DataFrame:
     """threshold, cost, quality: below the threshold the action becomes `fallback`. costs: of each option."""
-    grid = rows.withColumn("threshold", F.explode(F.array(*[F.lit(i / (n - 1)) for i in range(n)])))
-    action = F.when(F.col("conf") >= F.col("threshold"), F.col("pred")).otherwise(F.lit(fallback))
-    cost = F.element_at(F.array(*[F.lit(c) for c in costs]), action + 1)
-    return grid.groupBy("threshold").agg(_r(F.avg(cost)).alias("cost"), _r(F.avg((action == F.col("gold")).cast("int"))).alias("quality"))
+    cost = F.element_at(F.array(*[F.lit(c) for c in costs]), F.col("pred") + 1)
+    sums = {"n": F.lit(1), "cost": cost, "hit": (F.col("pred") == F.col("gold")).cast("int"), "back": (F.lit(fallback) == F.col("gold")).cast("int")}
+    t = by_threshold(rows, F.col("conf"), [i / (n - 1) for i in range(n)], sums)
+    every = F.col("n_from") + F.col("n_below")
+    return t.select("threshold", _r((F.col("cost_from") + costs[fallback] * F.col("n_below")) / every).alias("cost"), _r((F.col("hit_from") + F.col("back_below")) / every).alias("quality"))
 
 
 def abstain_threshold(rows: DataFrame, target: float, least: int = 20) -> DataFrame:
@@ -184,12 +198,12 @@ def cascade(small: DataFrame, big: DataFrame, grid: list[tuple[float, float]]) -
 def depth_cascade(early: DataFrame, final: DataFrame, n: int = 101, early_cost: float = 0.75) -> DataFrame:
     """threshold, accuracy, exits, compute: rows confident enough leave at the early layer."""
     both = early.select("id", "gold", F.col("pred").alias("p1"), F.col("conf").alias("c1")).join(final.select("id", F.col("pred").alias("p2")), "id")
-    grid = both.withColumn("threshold", F.explode(F.array(*[F.lit(i / (n - 1)) for i in range(n)])))
-    leaves = F.col("c1") >= F.col("threshold")
-    chosen = F.when(leaves, F.col("p1")).otherwise(F.col("p2"))
-    return grid.groupBy("threshold").agg(
-        _r(F.avg((chosen == F.col("gold")).cast("int"))).alias("accuracy"), _r(F.avg(leaves.cast("int"))).alias("exits"), _r(F.avg(F.when(leaves, early_cost).otherwise(1.0))).alias("compute")
-    )
+    sums = {"n": F.lit(1), "early": (F.col("p1") == F.col("gold")).cast("int"), "late": (F.col("p2") == F.col("gold")).cast("int")}
+    t = by_threshold(both, F.col("c1"), [i / (n - 1) for i in range(n)], sums)
+    every = F.col("n_from") + F.col("n_below")
+    return t.select(
+        "threshold", _r((F.col("early_from") + F.col("late_below")) / every).alias("accuracy"), _r(F.col("n_from") / every).alias("exits"), _r((early_cost * F.col("n_from") + F.col("n_below")) / every).alias("compute"),
+    )
 
 
 def advantage_weights(rows: DataFrame, family: str, temperature: float = 0.2, clip: float = 5.0) -> DataFrame:
@@ -207,9 +221,10 @@ def wilson_routes(runs: DataFrame, route: str, success: Column, z: float = 1.645
 
 def temperature_grid(rows: DataFrame, grid: list[float], *by: str) -> DataFrame:
     """temperature, nll of each grid point (and group), in one aggregate over all of them."""
-    points = rows.withColumn("temperature", F.explode(F.array(*[F.lit(float(t)) for t in grid])))
-    p = F.element_at(P.softmax(F.col("z"), F.col("temperature")), F.col("gold") + 1)
-    return points.groupBy(*by, "temperature").agg(_r(F.avg(P.nll(p))).alias("nll"), F.count(F.lit(1)).alias("n"))
+    loss = lambda t: F.avg(P.nll(F.element_at(P.softmax(F.col("z"), F.lit(float(t))), F.col("gold") + 1)))
+    wide = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[loss(t).alias(f"t{k}") for k, t in enumerate(grid)])
+    long = F.array(*[F.struct(F.lit(float(t)).alias("temperature"), _r(F.col(f"t{k}")).alias("nll")) for k, t in enumerate(grid)])
+    return wide.select(*by, F.inline(long), "n").select(*by, "temperature", "nll", "n")
 
 
 def fit_temperature(rows: DataFrame, *by: str, least: int = 20, rounds: int = 4, width: int = 15) -> DataFrame:

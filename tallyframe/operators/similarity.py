@@ -33,13 +33,14 @@ def dedup_summary(docs: DataFrame, pack: str) -> DataFrame:
     return texts.groupBy(pack).agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_distinct"), (F.sum("n") - F.count(F.lit(1))).alias("n_duplicates"))
 
 
-def _gram_rows(docs: DataFrame, columns: list[str], grams: Column) -> DataFrame:
+def _gram_rows(docs: DataFrame, columns: list[str], grams: Column, again: bool = False) -> DataFrame:
     """columns, n_grams and g: a row for each gram, as 64 bits.
 
     Exploded outer and filtered after: an inner explode makes the optimizer build the grams once more to see whether
-    there are any.
+    there are any. again: the rows are used more than once, so texts are normalised once and their grams written.
     """
     hashed = docs.select(*columns, F.transform(grams, lambda g: F.xxhash64(g)).alias("grams"))
+    hashed = stored(hashed) if again else hashed
     return hashed.select(*columns, F.size("grams").alias("n_grams"), F.explode_outer("grams").alias("g")).where(F.col("g").isNotNull())
 
 
@@ -149,7 +150,7 @@ def entity_contamination(docs: DataFrame, items: DataFrame, item_df: int = 3, co
 
 def phrase_coverage(docs: DataFrame, family: str, n: int = 5) -> DataFrame:
     """family, rows, coverage: mean share of an evaluation text's n-grams that some training text of its family has."""
-    g = _gram_rows(docs, ["doc_id", family, "is_eval"], T.grams(T.words(T.normalize(T.skeleton(F.col("text")))), n))
+    g = _gram_rows(docs, ["doc_id", family, "is_eval"], T.grams(T.words(T.normalize(T.skeleton(F.col("text")))), n), again=True)
     seen = g.where("NOT is_eval").select(F.col(family).alias("in_family"), F.col("g").alias("known")).distinct().withColumn("seen", F.lit(1))
     asked = g.where("is_eval").join(seen, F.col(family).eqNullSafe(F.col("in_family")) & (F.col("g") == F.col("known")), "left")
     rows = asked.groupBy(family, "doc_id").agg(F.avg(F.coalesce("seen", F.lit(0))).alias("share"))
@@ -158,7 +159,7 @@ def phrase_coverage(docs: DataFrame, family: str, n: int = 5) -> DataFrame:
 
 def boilerplate_share(docs: DataFrame, family: str, n: int = 5) -> DataFrame:
     """family, rows, share: mean share of a row's n-grams that max(3, 5 %) of the family's rows or more have."""
-    g = _gram_rows(docs, ["doc_id", family], T.grams(T.words(T.normalize(T.skeleton(F.col("text")))), n))
+    g = _gram_rows(docs, ["doc_id", family], T.grams(T.words(T.normalize(T.skeleton(F.col("text")))), n), again=True)
     rows = docs.groupBy(F.col(family).alias("in_family")).agg(F.count(F.lit(1)).alias("rows"))
     df = g.groupBy(family, "g").agg(F.count(F.lit(1)).alias("df")).join(rows, F.col(family).eqNullSafe(F.col("in_family"))).where(F.col("df") >= F.greatest(F.lit(3), F.floor(F.col("rows") * 0.05)))
     often = df.select("in_family", F.col("g").alias("known"), F.lit(1).alias("often"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import text as T
 from tallyframe.operators import sampling, similarity
+from tallyframe.plans.session import stored
 
 #: Buckets of an order: a group's rows are spread over so many tasks.
 BUCKETS = 256
@@ -36,13 +37,14 @@ def first_in_order(rows: DataFrame, groups: list[str], order: Column, key: str,
     """The first `quota` rows of each group by (order, key). quotas: a row for each group; groups without one keep nothing.
 
     order is a number. Buckets follow approximate percentiles of the group, which decide how rows are spread, not which
-    ones are kept. A null group is a group.
+    ones are kept. They depend on the order in which tasks' parts arrive, so they are written before rows are dealt and
+    counted by them. A null group is a group.
     """
     keyed = rows.withColumn("__v", order)
     shares = F.array(*[F.lit((i + 1) / BUCKETS) for i in range(BUCKETS - 1)])
     cuts, right = _renamed(keyed.groupBy(*groups).agg(F.percentile_approx("__v", shares, F.lit(1000)).alias("__cuts")), groups)
     asked, asked_right = _renamed(quotas.select(*groups, F.col(quota).alias("__quota")), groups)
-    bounds = cuts.join(asked.withColumnsRenamed({v: f"_{v}" for v in asked_right.values()}), reduce(lambda a, b: a & b, [F.col(f"__{n}").eqNullSafe(F.col(f"___{n}")) for n in groups])).drop(*[f"___{n}" for n in groups])
+    bounds = stored(cuts.join(asked.withColumnsRenamed({v: f"_{v}" for v in asked_right.values()}), reduce(lambda a, b: a & b, [F.col(f"__{n}").eqNullSafe(F.col(f"___{n}")) for n in groups])).drop(*[f"___{n}" for n in groups]))
     bucket = F.size(F.filter("__cuts", lambda c: c < F.col("__v")))
     dealt = keyed.join(bounds, _same(groups, right)).withColumn("__bucket", bucket).drop("__cuts", *right.values())
     counted = dealt.groupBy(*groups, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
@@ -98,7 +100,8 @@ def assemble(sources: list[DataFrame], pack: str, key: str, prefixes: list[str],
     leaks = similarity.token_set_matches(rows, diagnostic, similar).select("doc_id").distinct()
     kept = rows.join(leaks, "doc_id", "left_anti")
     quotas = kept.groupBy(pack).agg(F.lit(cap).alias("quota"))
-    return holdout(first_in_order(kept, [pack], hash_order(seed, key), key, quotas, "quota"), key, seed + "-held", held)
+    # holdout reads its rows three times.
+    return holdout(stored(first_in_order(kept, [pack], hash_order(seed, key), key, quotas, "quota")), key, seed + "-held", held)
 
 
 def reload_run(candidates: DataFrame, worlds: DataFrame, rejections: DataFrame, world: str, candidate: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +21,10 @@ def diversity_cap(docs: DataFrame, pack: str, easy: Column, ratio: float = 0.6)
     """pack, n, easy, cap, kept_easy. No-op for fewer than 20 rows or less than a quarter of rows that aren't easy;
     else easy rows are capped at max(int(r rest / (1 - r)), int(r n / 2))."""
     by = docs.groupBy(pack).agg(F.count(F.lit(1)).alias("n"), F.sum(easy.cast("int")).alias("easy"))
-    rest = F.col("n") - F.col("easy")
-    cap = F.greatest(F.floor(F.lit(ratio) * rest / (1 - ratio) + 1e-9), F.floor(F.lit(ratio) * F.col("n") * 0.5 + 1e-9))
+    rest, r = F.col("n") - F.col("easy"), Fraction(str(ratio))
+    # Whole numbers: at millions of rows a term against rounding is itself rounded away.
+    a, b = r.numerator, r.denominator
+    cap = F.greatest(F.floor(F.lit(a) * rest / (b - a)), F.floor(F.lit(a) * F.col("n") / (2 * b)))
     bound = F.when((F.col("n") < 20) | (rest < F.col("n") * 0.25), F.col("easy")).otherwise(F.least("easy", cap))
     return by.select(pack, "n", "easy", bound.cast("long").alias("kept_easy"))
 

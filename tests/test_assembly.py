@@ -79,3 +79,19 @@ def test_contamination_needs_tokens(spark):
     docs = spark.createDataFrame([(1, "A  b-c."), (2, None), (3, "?!"), (4, "other")], "doc_id long, text string")
     items = spark.createDataFrame([("a b-c",), (None,), ("",)], "text string")
     assert [r.doc_id for r in A.exact_contamination(docs, items).collect()] == [1]
+
+
+def test_buckets_that_come_out_differently_each_time(spark, monkeypatch):
+    """Approximate percentiles follow the order in which parts arrive: rows must be dealt and counted by the same ones."""
+    given = A.F.percentile_approx
+    shifted = F.udf(lambda cuts: [c + random.randrange(-30, 30) for c in sorted(cuts)], "array<long>").asNondeterministic()
+    monkeypatch.setattr(A.F, "percentile_approx", lambda *a: A.F.array_sort(shifted(given(*a))))
+    rows = spark.range(2000).selectExpr("id", "id % 2 AS g", "pmod(hash(id), 700) AS v").repartition(5)
+    quotas = spark.createDataFrame([(0, 400), (1, 1000)], "g long, q int")
+    told = sorted((r.g, r.v, r.id) for r in rows.collect())
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    expected = {i for g, q in ((0, 400), (1, 1000)) for _, _, i in [r for r in told if r[0] == g][:q]}
+    try:
+        assert sorted(r.id for r in A.first_in_order(rows, ["g"], F.col("v"), "id", quotas, "q").collect()) == sorted(expected)
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")

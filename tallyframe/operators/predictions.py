@@ -237,16 +237,21 @@ def fit_temperature(rows: DataFrame, *by: str, least: int = 20, rounds: int = 4,
 
     from tallyframe.plans.session import stored
 
-    rows = rows.withColumn("__all", F.lit(1))
     by = by or ("__all",)
-    best = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).withColumn("center", F.lit(0.0))
+    # What a loss needs, written once: the logits below the largest one and that of the truth.
+    below = P.let(F.col("z"), lambda z: P.let(F.array_max(z), lambda most: F.transform(z, lambda x: x - most)))
+    kept = rows.withColumn("__all", F.lit(1)).select(*by, "gold", below.alias("below"))
+    rows = stored(kept.select(*by, "below", F.element_at("below", F.col("gold") + 1).alias("truth")))
+    best = stored(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).withColumn("center", F.lit(0.0)))
     reach = reach_all = math.log(20.0)
     for _ in range(rounds):
         steps = [reach * (2 * k / (width - 1) - 1) for k in range(width)]
         near = rows.join(best.where(F.col("n") >= least), list(by))
-        points = near.withColumn("t", F.explode(F.array(*[F.greatest(F.lit(-reach_all), F.least(F.lit(reach_all), F.col("center") + F.lit(s))) for s in steps])))
-        p = F.element_at(P.softmax(F.col("z"), F.exp("t")), F.col("gold") + 1)
-        losses = points.groupBy(*by, "n", "t").agg(F.avg(P.nll(p)).alias("loss"))
+        at = [F.greatest(F.lit(-reach_all), F.least(F.lit(reach_all), F.col("center") + F.lit(s))) for s in steps]
+        # The grid stands in the aggregation's columns: rows aren't multiplied.
+        p = lambda t: F.exp(F.col("truth") / F.exp(t)) / F.aggregate("below", F.lit(0.0), lambda a, x: a + F.exp(x / F.exp(t)))
+        means = near.groupBy(*by, "n", "center").agg(*[F.avg(P.nll(p(t))).alias(f"__{k}") for k, t in enumerate(at)])
+        losses = means.select(*by, "n", F.inline(F.array(*[F.struct(t.alias("t"), F.col(f"__{k}").alias("loss")) for k, t in enumerate(at)])))
         found = losses.groupBy(*by, "n").agg(F.min_by("t", "loss").alias("center"))
         best = stored(found.unionByName(best.where(F.col("n") < least)))
         reach = reach * 2 / (width - 1)

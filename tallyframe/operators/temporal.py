@@ -15,11 +15,12 @@ def as_of(facts: DataFrame, revisions: DataFrame, key: str, at: str, effective:
     """facts with `value` of the latest revision of the key that is effective at or before `at`; null if there is none.
 
     A key's revisions are gathered into one row's array (few for a key), so the join is an equi-join whatever the
-    number of revisions, and facts are neither multiplied nor sorted.
+    number of revisions, and facts are not multiplied. Arrays are dealt by key: Spark takes them for as small as the
+    revisions' source and would send them all through the driver.
     """
     arrays = revisions.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(effective).alias("e"), F.col(value).alias("v")))).alias("__r"))
     found = F.aggregate("__r", F.lit(None).cast(revisions.schema[value].dataType), lambda acc, r: F.when(r["e"] <= F.col(at), r["v"]).otherwise(acc))
-    return facts.join(arrays, key, "left").withColumn(value, found).drop("__r")
+    return facts.join(arrays.hint("shuffle_hash"), key, "left").withColumn(value, found).drop("__r")
 
 
 def trailing_sum(rows: DataFrame, key: str, day: Column, amount: str, days: int) -> DataFrame:

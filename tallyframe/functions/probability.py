@@ -16,8 +16,9 @@ def total(a: Column) -> Column:
 
 def softmax(z: Column, temperature: Column | float = 1.0) -> Column:
     t = temperature if isinstance(temperature, Column) else F.lit(float(temperature))
-    raised = let(z, lambda y: F.transform(y, lambda x: F.exp((x - F.array_max(y)) / t)))
-    return let(raised, lambda e: F.transform(e, lambda x: x / total(e)))
+    # Maximum and sum are worked out once an array, not once an element.
+    raised = let(z, lambda y: let(F.array_max(y), lambda most: F.transform(y, lambda x: F.exp((x - most) / t))))
+    return let(raised, lambda e: let(total(e), lambda s: F.transform(e, lambda x: x / s)))
 
 
 def normalized(p: Column) -> Column:

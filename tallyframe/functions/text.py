@@ -22,6 +22,11 @@ def words(normalized: Column) -> Column:
     return F.filter(F.split(normalized, " "), lambda w: w != "")
 
 
+def text_words(c: Column, digits: bool = True) -> Column:
+    """words(normalize(c)), or of normalize(skeleton(c)) without digits, in one pass: all that is no word's sign parts words."""
+    return F.array_remove(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+" if digits else "[^a-z]+"), "")
+
+
 def shingles(word_array: Column, n: int = 4) -> Column:
     """Distinct n-word shingles; a text of at most n words is one shingle, an empty text has none."""
 
@@ -43,6 +48,16 @@ def grams(word_array: Column, n: int) -> Column:
     return let(word_array, cut)
 
 
+def gram_hashes(word_array: Column, n: int) -> Column:
+    """The distinct n-word grams as 64-bit hashes of their words, none for shorter texts: no gram is built as text."""
+
+    def cut(w: Column) -> Column:
+        some = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))
+        return F.when(F.size(w) < n, F.array().cast("array<bigint>")).otherwise(F.array_distinct(some))
+
+    return let(word_array, cut)
+
+
 def skeleton(c: Column) -> Column:
     """The text with runs of digits, points and commas masked and white space squeezed."""
     masked = F.regexp_replace(F.coalesce(c, F.lit("")), "[0-9][0-9.,]*", "#")

@@ -34,12 +34,12 @@ def dedup_summary(docs: DataFrame, pack: str) -> DataFrame:
 
 
 def _gram_rows(docs: DataFrame, columns: list[str], grams: Column, again: bool = False) -> DataFrame:
-    """columns, n_grams and g: a row for each gram, as 64 bits.
+    """columns, n_grams and g: a row for each gram (64-bit hashes).
 
     Exploded outer and filtered after: an inner explode makes the optimizer build the grams once more to see whether
     there are any. again: the rows are used more than once, so texts are normalised once and their grams written.
     """
-    hashed = docs.select(*columns, F.transform(grams, lambda g: F.xxhash64(g)).alias("grams"))
+    hashed = docs.select(*columns, grams.alias("grams"))
     hashed = stored(hashed) if again else hashed
     return hashed.select(*columns, F.size("grams").alias("n_grams"), F.explode_outer("grams").alias("g")).where(F.col("g").isNotNull())
 
@@ -117,7 +117,7 @@ def cross_split_pairs(docs: DataFrame, pack: str, threshold: float) -> DataFrame
 def shingle_contamination(docs: DataFrame, items: DataFrame, n: int = 8, share: float = 0.10) -> DataFrame:
     """doc_id, item_id, hits, ratio: for each document the item it shares most n-word grams with, if that is `share`
     of the document's or of the item's grams. Ties go to the smaller item id."""
-    grams = T.grams(T.words(T.normalize(F.col("text"))), n)
+    grams = T.gram_hashes(T.text_words(F.col("text")), n)
     i = stored(_gram_rows(items, ["item_id"], grams))
     sizes = i.select("item_id", F.col("n_grams").alias("n_item")).distinct()
     met = _gram_rows(docs, ["doc_id"], grams).withColumnRenamed("n_grams", "n_doc").join(i.select("item_id", "g"), "g")
@@ -150,7 +150,7 @@ def entity_contamination(docs: DataFrame, items: DataFrame, item_df: int = 3, co
 
 def phrase_coverage(docs: DataFrame, family: str, n: int = 5) -> DataFrame:
     """family, rows, coverage: mean share of an evaluation text's n-grams that some training text of its family has."""
-    g = _gram_rows(docs, ["doc_id", family, "is_eval"], T.grams(T.words(T.normalize(T.skeleton(F.col("text")))), n), again=True)
+    g = _gram_rows(docs, ["doc_id", family, "is_eval"], T.gram_hashes(T.text_words(F.col("text"), digits=False), n), again=True)
     seen = g.where("NOT is_eval").select(F.col(family).alias("in_family"), F.col("g").alias("known")).distinct().withColumn("seen", F.lit(1))
     asked = g.where("is_eval").join(seen, F.col(family).eqNullSafe(F.col("in_family")) & (F.col("g") == F.col("known")), "left")
     rows = asked.groupBy(family, "doc_id").agg(F.avg(F.coalesce("seen", F.lit(0))).alias("share"))
@@ -159,10 +159,11 @@ def phrase_coverage(docs: DataFrame, family: str, n: int = 5) -> DataFrame:
 
 def boilerplate_share(docs: DataFrame, family: str, n: int = 5) -> DataFrame:
     """family, rows, share: mean share of a row's n-grams that max(3, 5 %) of the family's rows or more have."""
-    g = _gram_rows(docs, ["doc_id", family], T.grams(T.words(T.normalize(T.skeleton(F.col("text")))), n), again=True)
+    g = _gram_rows(docs, ["doc_id", family], T.gram_hashes(T.text_words(F.col("text"), digits=False), n), again=True)
     rows = docs.groupBy(F.col(family).alias("in_family")).agg(F.count(F.lit(1)).alias("rows"))
     df = g.groupBy(family, "g").agg(F.count(F.lit(1)).alias("df")).join(rows, F.col(family).eqNullSafe(F.col("in_family"))).where(F.col("df") >= F.greatest(F.lit(3), F.floor(F.col("rows") * 0.05)))
-    often = df.select("in_family", F.col("g").alias("known"), F.lit(1).alias("often"))
+    # Few by nature (a text of n words has n grams, each of these stands in many): written, so that the join knows how few.
+    often = stored(df.select("in_family", F.col("g").alias("known"), F.lit(1).alias("often")))
     share = g.join(often, F.col(family).eqNullSafe(F.col("in_family")) & (F.col("g") == F.col("known")), "left").groupBy(family, "doc_id").agg(F.avg(F.coalesce("often", F.lit(0))).alias("share"))
     return share.groupBy(family).agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg("share"), 6).alias("share"))
 
@@ -189,8 +190,12 @@ def token_set_matches(docs: DataFrame, items: DataFrame, threshold: float) -> Da
     An item's tokens are ranked by how rare they are among documents; a match must share one of the rarest
     size - ceil(t * size) + 1, so only those meet the documents' tokens.
     """
-    d = stored(docs.select("doc_id", F.array_distinct(T.words(T.normalize(F.col("text")))).alias("t")).where(F.size("t") > 0))
-    i = items.select("item_id", F.array_distinct(T.words(T.normalize(F.col("text")))).alias("t")).where(F.size("t") > 0)
+    i = stored(items.select("item_id", F.array_distinct(T.text_words(F.col("text"))).alias("t")).where(F.size("t") > 0))
+    sizes = i.agg(F.min(F.size("t")).alias("least"), F.max(F.size("t")).alias("most")).first()
+    low, high = (sizes["least"] or 0) * threshold - 1e-9, (sizes["most"] or 0) / threshold + 1e-9
+    # Texts that no item's size fits can't match. Exploded outer: a filter on the tokens would make them a second time.
+    fitting = F.explode_outer(T.let(F.array_distinct(T.text_words(F.col("text"))), lambda t: F.when((F.size(t) > 0) & F.size(t).between(F.lit(low), F.lit(high)), F.array(t))))
+    d = stored(docs.select("doc_id", fitting.alias("t")).where("t IS NOT NULL"))
     tokens = d.select("doc_id", F.size("t").alias("n_doc"), F.explode("t").alias("w"))
     own = i.select("item_id", F.explode("t").alias("w"))
     df = tokens.join(own.select("w").distinct(), "w", "left_semi").groupBy("w").count()

@@ -12,6 +12,9 @@ from tallyframe.plans.session import stored
 #: The reason of each relation.
 REASONS = {"before": "a_ends_before_b_starts", "after": "a_starts_after_b_ends", "during": "a_within_b", "conflicting": "conflicting_timestamps"}
 
+#: Rounds whose events are put together in one write.
+TOGETHER = 8
+
 
 def _minutes_later(local: Column, minutes: Column) -> Column:
     """Minutes of the wall clock: to be taken before a zone is applied."""
@@ -56,6 +59,7 @@ def event_intervals(sources: DataFrame) -> DataFrame:
     nothing = F.lit(None).cast("timestamp")
     nobody = join_null_safe(nobody, left.select("world", "event").distinct(), ["world", "event"], "left_anti")
     decided = stored(nobody.select("world", "event", F.lit("unknown").alias("state"), nothing.alias("start"), nothing.alias("end"), F.lit(False).alias("told")))
+    rounds = 0
     while True:
         anchors = decided.select("world", F.col("event").alias("anchor"), F.col("state").alias("anchor_state"), F.col("start").alias("anchor_start"))
         told = _told(join_null_safe(left, anchors, ["world", "anchor"], "left"))
@@ -68,7 +72,9 @@ def event_intervals(sources: DataFrame) -> DataFrame:
         fresh = stored(ready.withColumn("state", state).select("world", "event", "state", time("start"), time("end"), F.lit(True).alias("told")))
         if fresh.isEmpty():
             break
-        decided = stored(decided.unionByName(fresh))
+        # What is written stays where it is; only now and then is it put together, so that no plan grows with the chain.
+        rounds += 1
+        decided = decided.unionByName(fresh) if rounds % TOGETHER else stored(decided.unionByName(fresh))
         left = stored(join_null_safe(left, fresh.select("world", "event"), ["world", "event"], "left_anti"))
     cyclic = left.select("world", "event").distinct().select("world", "event", F.lit("cyclic").alias("state"), nothing.alias("start"), nothing.alias("end"))
     return decided.where("told").drop("told").unionByName(cyclic)

@@ -58,6 +58,17 @@ def gram_hashes(word_array: Column, n: int) -> Column:
     return let(word_array, cut)
 
 
+def shingle_hashes(word_array: Column, n: int = 4) -> Column:
+    """shingles() as sorted 64-bit hashes of their words: no shingle is built as text."""
+
+    def cut(w: Column) -> Column:
+        # Words that a short text does not have are null, which a hash leaves out.
+        some = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))
+        return F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(F.array_sort(F.array_distinct(some)))
+
+    return let(word_array, cut)
+
+
 def skeleton(c: Column) -> Column:
     """The text with runs of digits, points and commas masked and white space squeezed."""
     masked = F.regexp_replace(F.coalesce(c, F.lit("")), "[0-9][0-9.,]*", "#")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,34 +49,130 @@ def _gram_rows(docs: DataFrame, columns: list[str], grams: Column, again: bool =
     return hashed.select(*columns, F.size("grams").alias("n_grams"), F.explode_outer("grams").alias("g")).where(F.col("g").isNotNull())
 
 
-def shingle_sets(docs: DataFrame, pack: str, n: int = 4) -> DataFrame:
-    """rep, pack, set: one row for each distinct normalised text of a pack, its shingles as 64-bit hashes."""
-    reps = exact_keys(docs).groupBy(pack, "key").agg(F.min("doc_id").alias("rep"), F.first("norm").alias("norm"))
-    sets = F.array_sort(F.array_distinct(F.transform(T.shingles(T.words(F.col("norm")), n), lambda s: F.xxhash64(s))))
-    return reps.select("rep", pack, sets.alias("set")).where(F.size("set") > 0)
+def shingle_sets(docs: DataFrame, pack: str, n: int = 4, also: tuple[str, ...] = ()) -> DataFrame:
+    """rep, pack, also, set: one row for each distinct normalised text of a pack (and of each `also`), its shingles as
+    64-bit hashes. A text of at most n words is one shingle, one without words has no row. Written.
+    """
+    own = [pack, *also]
+    made = T.let(T.text_words(F.col("text")), lambda w: F.struct(F.sha2(F.encode(F.array_join(w, " "), "UTF-8"), 256).alias("key"), T.shingle_hashes(w, n).alias("set")))
+    keyed = docs.select("doc_id", *own, made.alias("made")).select(F.monotonically_increasing_id().alias("row"), "doc_id", *own, "made.key", "made.set")
+    keyed = stored(keyed)
+    # Grouped without the sets: those of representatives are dealt once, by the number of their row.
+    first = keyed.where(F.size("set") > 0).groupBy(*own, "key").agg(F.min("doc_id").alias("rep"), F.min_by("row", "doc_id").alias("of_doc"), F.min("row").alias("any"))
+    reps = first.select(F.coalesce("of_doc", "any").alias("row"), "rep")
+    return stored(keyed.join(reps, "row").select("rep", *own, "set"))
+
+
+def _size_classes(threshold: float, largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First size of each class, and the parts and the spare parts of pairs whose smaller set is of the class.
+
+    The larger set of a similar pair is in the same class or the next one. Sets of at most m and m / t elements differ
+    in m (1 - t) / t elements at most; with one part more than that and `spare` ones, 1 + spare parts are equal.
+    """
+    first = [1, 2]
+    while first[-1] <= largest:
+        first.append(max(first[-1] + 1, math.floor((first[-1] - 1) / threshold + 1e-9) + 1))
+    starts = np.array(first, dtype=np.int64)
+    differ = np.floor((starts[1:] - 1) * (1 - threshold) / threshold + 1e-9).astype(np.int64)
+    spare = np.where(differ > 0, 1 + np.ceil(2 * (differ + 1) * np.exp(-starts[:-1] / (differ + 1))), 0).astype(np.int64)
+    return starts, differ + 1 + spare, spare
 
 
-def similar_pairs(sets: DataFrame, pack: str, threshold: float) -> DataFrame:
-    """pack, id_a < id_b, jaccard of all pairs at the threshold or more, by prefix filtering.
+def _mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
 
-    Shingles are ordered rarest first; two sets can only reach the threshold if they share one of their first
-    size - ceil(t * size) + 1 shingles and their sizes fit. So frequent shingles rarely meet in the join at all, and a
-    pair is verified once, by its whole sets.
+
+#: Elements of sets whose parts are worked out at once.
+AT_ONCE = 2_000_000
+
+
+def _parts(sets: DataFrame, threshold: float, largest: int, carried: list[str]) -> DataFrame:
+    """row, n, carried, sig, prev: the parts of each set, of its own class and of the one below, as hashes.
+
+    sets: row, n, pack_hash, set, carried. A part's hash is made of its elements, its place, its class and the pack.
+    prev is the hash of the part before it, if that has a row too. Empty parts have rows only where a set has more than
+    the spare ones: of two sets' equal parts, one is then still found.
+    """
+    starts, parts, spare = _size_classes(threshold, largest)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            ends = np.cumsum(whole.column("n").to_numpy().astype(np.int64))
+            at = 0
+            while at < whole.num_rows:
+                done = ends[at - 1] if at else 0
+                upto = max(at + 1, int(np.searchsorted(ends, done + AT_ONCE, "right")))
+                batch, at = whole.slice(at, upto - at), upto
+                hashes = _mixed(batch.column("set").flatten().to_numpy().view(np.uint64))
+                sizes, pack = batch.column("n").to_numpy().astype(np.int64), batch.column("pack_hash").to_numpy().view(np.uint64)
+                own = np.searchsorted(starts, sizes, "right") - 1
+                for step in (0, 1):
+                    base = own - step
+                    some = np.flatnonzero(base >= 0)
+                    if not len(some):
+                        continue
+                    k, m = base[some], parts[base[some]]
+                    begin = np.concatenate([[0], np.cumsum(m)])
+                    # Elements of the sets that take part, each with the slot of its part.
+                    which = np.full(len(sizes), -1, dtype=np.int64)
+                    which[some] = np.arange(len(some))
+                    owner = np.repeat(which, sizes)
+                    inside = owner >= 0
+                    owner, h = owner[inside], hashes[inside]
+                    slot = begin[owner] + (h % m[owner].astype(np.uint64)).astype(np.int64)
+                    count = np.bincount(slot, minlength=begin[-1])
+                    order = np.argsort(slot, kind="stable")
+                    total = np.zeros(begin[-1], dtype=np.uint64)
+                    full = count > 0
+                    if len(h):
+                        runs = np.concatenate([[0], np.cumsum(count[full])[:-1]])
+                        with np.errstate(over="ignore"):
+                            total[full] = np.add.reduceat(_mixed(h)[order], runs)
+                    of_set = np.repeat(np.arange(len(some)), m)
+                    place = np.arange(begin[-1]) - begin[of_set]
+                    with np.errstate(over="ignore"):
+                        sig = _mixed(total + _mixed(pack[some][of_set] + _mixed((k[of_set].astype(np.uint64) << np.uint64(32)) + place.astype(np.uint64) + np.uint64(1))))
+                    empty = np.bincount(of_set[~full], minlength=len(some))
+                    shown = full | (empty > spare[k])[of_set]
+                    follows = np.concatenate([[False], shown[:-1]]) & (place > 0)
+                    prev = pa.array(np.roll(sig, 1).view(np.int64)[shown], mask=~follows[shown])
+                    back = pa.array(some[of_set[shown]])
+                    taken = [batch.column(c).take(back) for c in ("row", "n", *carried)]
+                    yield pa.RecordBatch.from_arrays([*taken, pa.array(sig.view(np.int64)[shown]), prev], names=["row", "n", *carried, "sig", "prev"])
+
+    types = {f.name: f.dataType.simpleString() for f in sets.schema}
+    kind = "row long, n int, " + "".join(f"{c} {types[c]}, " for c in carried) + "sig long, prev long"
+    return sets.select("row", "n", "pack_hash", "set", *carried).mapInArrow(of, kind)
+
+
+def similar_pairs(sets: DataFrame, pack: str, threshold: float, apart: str | None = None) -> DataFrame:
+    """pack, id_a < id_b, jaccard of all pairs at the threshold or more; of different values of `apart` only, if given
+    (then also apart_a and apart_b). Written.
+
+    Elements are dealt to parts by their hash, one part more than two similar sets can have elements that differ: at
+    least one part of both is equal, and pairs meet in those alone. A part of texts that are unlike is hardly ever
+    equal (at 0.9 it holds eight shingles), so candidates are about as many as pairs, however common a shingle is. Of a
+    run of equal parts the first makes the candidate. Candidates are verified once, by their whole sets. Exact at any
+    threshold; parts get small, and candidates many, below 0.8.
     """
-    sets = stored(sets)
-    df = sets.select(pack, F.explode("set").alias("s")).groupBy(pack, "s").count()
-    ranked = join_null_safe(sets.select("rep", pack, F.explode("set").alias("s")), df, [pack, "s"])
-    ordered = ranked.groupBy(pack, "rep").agg(F.array_sort(F.collect_list(F.struct("count", "s"))).alias("o"))
-    size = F.size("o")
-    prefix = ordered.select("rep", pack, size.alias("n"), F.explode(F.slice("o", F.lit(1), (size - F.ceil(size * F.lit(threshold) - 1e-9) + 1).cast("int"))).alias("x"))
-    left = prefix.select(pack, F.col("x.s").alias("s"), F.col("rep").alias("id_a"), F.col("n").alias("n_a"))
-    right = prefix.select(pack, F.col("x.s").alias("s"), F.col("rep").alias("id_b"), F.col("n").alias("n_b"))
-    fits = (F.col("id_a") < F.col("id_b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(threshold) - 1e-9)
-    candidates = join_null_safe(left, right, [pack, "s"]).where(fits).select(pack, "id_a", "id_b").distinct()
-    a = sets.select(F.col("rep").alias("id_a"), pack, F.col("set").alias("set_a"))
-    b = sets.select(F.col("rep").alias("id_b"), pack, F.col("set").alias("set_b"))
-    met = join_null_safe(join_null_safe(candidates, a, [pack, "id_a"]), b, [pack, "id_b"])
-    return met.select(pack, "id_a", "id_b", T.jaccard(F.col("set_a"), F.col("set_b")).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    also = [apart] if apart else []
+    n = F.size("set")
+    sets = stored(sets.where(n > 0).select(F.monotonically_increasing_id().alias("row"), "rep", pack, *also, "set", n.alias("n")))
+    largest = sets.agg(F.max("n")).first()[0] or 0
+    parts = stored(_parts(sets.withColumn("pack_hash", F.xxhash64(pack)), threshold, largest, also))
+    side = lambda x: parts.select("sig", *[F.col(c).alias(f"{c}_{x}") for c in ("row", "n", "prev", *also)])
+    fits = (F.col("row_a") < F.col("row_b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(threshold) - 1e-9) & F.coalesce(F.col("prev_a") != F.col("prev_b"), F.lit(True))
+    fits = fits & (F.col(f"{apart}_a") != F.col(f"{apart}_b")) if apart else fits
+    candidates = stored(side("a").join(side("b"), "sig").where(fits).select("row_a", "row_b").distinct())
+    whole = lambda x: sets.select(*[F.col(c).alias(f"{c}_{x}") for c in ("row", "rep", pack, *also, "set")])
+    met = candidates.join(whole("a"), "row_a").join(whole("b"), "row_b").where(F.col(f"{pack}_a").eqNullSafe(F.col(f"{pack}_b")) & (F.col("rep_a") != F.col("rep_b")))
+    turned = F.col("rep_a") > F.col("rep_b")
+    ends = [F.when(turned, F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}")).alias(f"{name}_{x}") for c, name in (("rep", "id"), *((c, c) for c in also)) for x, y in ("ab", "ba")]
+    found = met.select(F.col(f"{pack}_a").alias(pack), *ends, T.jaccard(F.col("set_a"), F.col("set_b")).alias("jaccard"))
+    return stored(found.where(F.col("jaccard") >= threshold))
 
 
 def greedy_kept(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -105,13 +206,7 @@ def split_of(doc_id: Column) -> Column:
 
 def cross_split_pairs(docs: DataFrame, pack: str, threshold: float) -> DataFrame:
     """Similar pairs of different splits (`split` must be a column): texts are told apart by split before they pair."""
-    parts = docs.withColumn("part", F.concat_ws("/", pack, "split"))
-    keyed = exact_keys(parts).groupBy(pack, "split", "key").agg(F.min("doc_id").alias("rep"), F.first("norm").alias("norm"))
-    sets = keyed.select("rep", pack, "split", F.array_sort(F.array_distinct(F.transform(T.shingles(T.words(F.col("norm"))), lambda s: F.xxhash64(s)))).alias("set")).where(F.size("set") > 0)
-    sets = stored(sets)
-    pairs = similar_pairs(sets.drop("split"), pack, threshold)
-    a, b = sets.select(F.col("rep").alias("id_a"), F.col("split").alias("split_a")), sets.select(F.col("rep").alias("id_b"), F.col("split").alias("split_b"))
-    return pairs.join(a, "id_a").join(b, "id_b").where("split_a <> split_b")
+    return similar_pairs(shingle_sets(docs, pack, also=("split",)), pack, threshold, apart="split")
 
 
 def shingle_contamination(docs: DataFrame, items: DataFrame, n: int = 8, share: float = 0.10) -> DataFrame:

@@ -176,3 +176,40 @@ def test_texts_are_hashed_once(spark):
     docs = spark.createDataFrame([(1, "a b", "en")], "doc_id long, text string, lang string")
     plan = similarity.dedup_summary(docs, "lang")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("sha2(") == 1
+
+
+def test_candidates_are_about_as_many_as_pairs(spark, monkeypatch):
+    """Texts of a few stock sentences share most shingles and are unlike; among them stand near copies, equal texts of two splits, short texts."""
+    random.seed(5)
+    stock = [" ".join(random.choice("abcdefghijklmnopqrstuvwxyz") * random.randint(2, 5) for _ in range(6)) for _ in range(150)]
+    bodies = [random.sample(stock, 12) for _ in range(200)]
+    for _ in range(20):
+        near = [*bodies[random.randrange(200)]]
+        near[random.randrange(12)] += " end"
+        bodies.append(near)
+    texts = [" ".join(b) for b in bodies] + [" ".join("xyzuvw"[i % 6] + str(i // (1 + k)) for i in range(9 + k)) for k in range(12)] + [" ".join(bodies[0])] * 2
+    rows = [(i, t, None if i % 5 == 4 else "p", "test" if i % 3 == 0 else "train") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, pack string, split string")
+
+    def cut(t):
+        w = t.split()
+        return {tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))}
+
+    sets = [cut(t) for t in texts]
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    written, kept = [], similarity.stored
+    monkeypatch.setattr(similarity, "stored", lambda df: written.append(kept(df)) or written[-1])
+    for apart in ((), (3,)):
+        first = {}
+        for r in rows:
+            first.setdefault((r[1], r[2], *(r[k] for k in apart)), r[0])
+        reps = sorted(first.values())
+        for threshold in (0.9, 0.8):
+            expected = {(a, b) for a, b in combinations(reps, 2) if rows[a][2] == rows[b][2] and not (apart and rows[a][3] == rows[b][3]) and like(a, b) >= threshold}
+            got = similarity.cross_split_pairs(docs, "pack", threshold) if apart else similarity.similar_pairs(similarity.shingle_sets(docs, "pack"), "pack", threshold)
+            found = [(r.id_a, r.id_b, r.jaccard) for r in got.collect()]
+            assert {f[:2] for f in found} == expected and len(found) == len(expected) > 3
+            assert all(math.isclose(j, like(a, b)) for a, b, j in found)
+            asked = [df.count() for df in written if df.columns == ["row_a", "row_b"]]
+            # Of 24,000 pairs; at 0.8 a part holds three shingles, which stock sentences share now and then.
+            assert asked and asked[-1] <= (3 * len(expected) + 20 if threshold == 0.9 else 400)

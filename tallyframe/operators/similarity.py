@@ -27,7 +27,11 @@ def dedup_exact(docs: DataFrame, pack: str) -> DataFrame:
     Grouped, not windowed: a text that a third of all rows share is combined before the shuffle. The keys are written,
     so that texts are read and hashed once.
     """
-    keyed = stored(exact_keys(docs).select("doc_id", pack, "key"))
+    return dedup_exact_keyed(stored(exact_keys(docs).select("doc_id", pack, "key")), pack)
+
+
+def dedup_exact_keyed(keyed: DataFrame, pack: str) -> DataFrame:
+    """dedup_exact of rows that have their key."""
     keep = keyed.groupBy(F.col(pack).alias("in_pack"), F.col("key").alias("of_key")).agg(F.min("doc_id").alias("keep_id"))
     return keyed.join(keep, F.col(pack).eqNullSafe(F.col("in_pack")) & (F.col("key") == F.col("of_key"))).select("doc_id", pack, "key", "keep_id")
 
@@ -49,18 +53,24 @@ def _gram_rows(docs: DataFrame, columns: list[str], grams: Column, again: bool =
     return hashed.select(*columns, F.size("grams").alias("n_grams"), F.explode_outer("grams").alias("g")).where(F.col("g").isNotNull())
 
 
-def shingle_sets(docs: DataFrame, pack: str, n: int = 4, also: tuple[str, ...] = ()) -> DataFrame:
-    """rep, pack, also, set: one row for each distinct normalised text of a pack (and of each `also`), its shingles as
-    64-bit hashes. A text of at most n words is one shingle, one without words has no row. Written.
-    """
-    own = [pack, *also]
+def keyed_sets(docs: DataFrame, columns: list[str], n: int = 4) -> DataFrame:
+    """row, doc_id, columns, key (as of exact_keys) and set, the distinct shingles as 64-bit hashes, of every document; written."""
     made = T.let(T.text_words(F.col("text")), lambda w: F.struct(F.sha2(F.encode(F.array_join(w, " "), "UTF-8"), 256).alias("key"), T.shingle_hashes(w, n).alias("set")))
-    keyed = docs.select("doc_id", *own, made.alias("made")).select(F.monotonically_increasing_id().alias("row"), "doc_id", *own, "made.key", "made.set")
-    keyed = stored(keyed)
+    keyed = docs.select("doc_id", *columns, made.alias("made"))
+    return stored(keyed.select(F.monotonically_increasing_id().alias("row"), "doc_id", *columns, "made.key", "made.set"))
+
+
+def representatives(keyed: DataFrame, own: list[str]) -> DataFrame:
+    """rep, own, set: one row for each distinct text with words of a value of `own`."""
     # Grouped without the sets: those of representatives are dealt once, by the number of their row.
     first = keyed.where(F.size("set") > 0).groupBy(*own, "key").agg(F.min("doc_id").alias("rep"), F.min_by("row", "doc_id").alias("of_doc"), F.min("row").alias("any"))
-    reps = first.select(F.coalesce("of_doc", "any").alias("row"), "rep")
-    return stored(keyed.join(reps, "row").select("rep", *own, "set"))
+    return keyed.join(first.select(F.coalesce("of_doc", "any").alias("row"), "rep"), "row").select("rep", *own, "set")
+
+
+def shingle_sets(docs: DataFrame, pack: str, n: int = 4, also: tuple[str, ...] = ()) -> DataFrame:
+    """rep, pack, also, set: one row for each distinct normalised text of a pack (and of each `also`), its shingles as
+    64-bit hashes. A text of at most n words is one shingle, one without words has no row."""
+    return representatives(keyed_sets(docs, [pack, *also], n), [pack, *also])
 
 
 def _size_classes(threshold: float, largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,26 +186,36 @@ def similar_pairs(sets: DataFrame, pack: str, threshold: float, apart: str | Non
 
 
 def greedy_kept(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """id, status (kept, near_duplicate), keeper: first come, first kept, in order of `rank`.
+    """id, status (kept, near_duplicate), keeper: first come, first kept, in order of `rank`."""
+    decided = decided_nodes(nodes, pairs)
+    alone = nodes.join(decided.select("id"), "id", "left_anti")
+    return decided.unionByName(alone.select("id", F.lit("kept").alias("status"), F.lit(None).cast("long").alias("keeper")))
+
+
+def decided_nodes(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """greedy_kept of the nodes that have an earlier one beside them or are one; all others are kept.
 
     A node is dropped if an earlier kept node is similar to it. Each round keeps all undecided nodes without an
     undecided or kept earlier neighbour, then drops the neighbours of kept nodes; a few rounds suffice, each written.
     nodes: id, rank (unique). pairs: id_a, id_b.
     """
-    both = pairs.select("id_a", "id_b").union(pairs.select("id_b", "id_a")).toDF("id", "other")
-    ranked = both.join(nodes.select("id", "rank"), "id").join(nodes.select(F.col("id").alias("other"), F.col("rank").alias("other_rank")), "other")
+    pairs = stored(pairs.select("id_a", "id_b"))
+    linked = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
+    own = stored(nodes.select("id", "rank").join(linked, "id", "left_semi"))
+    both = pairs.union(pairs.select("id_b", "id_a")).toDF("id", "other")
+    ranked = both.join(own, "id").join(own.select(F.col("id").alias("other"), F.col("rank").alias("other_rank")), "other")
     earlier = stored(ranked.where("other_rank < rank").select("id", "other", "other_rank"))
-    state = stored(nodes.join(earlier.select("id").distinct().withColumn("linked", F.lit(True)), "id", "left").select("id", "rank", F.when(F.col("linked").isNull(), "kept").alias("status"), F.lit(None).cast("long").alias("keeper")))
-    while state.where("status IS NULL").limit(1).count():
-        seen = earlier.join(state.select(F.col("id").alias("other"), F.col("status").alias("other_status")), "other")
+    state = stored(own.join(earlier.select("id").distinct().withColumn("linked", F.lit(True)), "id", "left").select("id", F.when(F.col("linked").isNull(), "kept").alias("status"), F.lit(None).cast("long").alias("keeper")))
+    while not state.where("status IS NULL").isEmpty():
+        seen = earlier.join(state.where("status IS NULL").select("id"), "id", "left_semi").join(state.select(F.col("id").alias("other"), F.col("status").alias("other_status")), "other")
         about = seen.groupBy("id").agg(
             F.bool_or(F.col("other_status").eqNullSafe("kept")).alias("hit"), F.bool_or(F.col("other_status").isNull()).alias("open"),
             F.min_by("other", F.when(F.col("other_status").eqNullSafe("kept"), F.col("other_rank"))).alias("by"),
         )
         # The first kept neighbour in order is only known once no earlier one is open: ask for no open one at all.
         decided = F.when(F.col("status").isNotNull(), F.col("status")).when(F.col("open"), None).when(F.col("hit"), "near_duplicate").otherwise("kept")
-        state = stored(state.join(about, "id", "left").select("id", "rank", decided.alias("status"), F.when(decided == "near_duplicate", F.coalesce("keeper", "by")).alias("keeper")))
-    return state.select("id", "status", "keeper")
+        state = stored(state.join(about, "id", "left").select("id", decided.alias("status"), F.when(decided == "near_duplicate", F.coalesce("keeper", "by")).alias("keeper")))
+    return state
 
 
 def split_of(doc_id: Column) -> Column:

@@ -70,13 +70,11 @@ def dedup_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def dedup_greedy_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hardest texts first (long, medium, short), then by id; copies follow their first row."""
-    docs = docs_of(spark, sf_dir)
-    sets = similarity.shingle_sets(docs, "lang")
-    pairs = similarity.similar_pairs(sets, "lang", 0.9)
-    rank = F.struct(F.when(T.length_bucket(F.col("text")) == "long", 0).when(T.length_bucket(F.col("text")) == "medium", 1).otherwise(2).alias("d"), F.col("doc_id").alias("id"))
-    nodes = docs.join(sets.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), rank.alias("rank"))
-    state = similarity.greedy_kept(nodes, pairs)
-    own = similarity.dedup_exact(docs, "lang").join(state, F.col("keep_id") == F.col("id"), "left")
+    hard = F.when(T.length_bucket(F.col("text")) == "long", 0).when(T.length_bucket(F.col("text")) == "medium", 1).otherwise(2)
+    keyed = similarity.keyed_sets(docs_of(spark, sf_dir).withColumn("hard", hard), ["lang", "hard"])
+    pairs = similarity.similar_pairs(similarity.representatives(keyed, ["lang"]), "lang", 0.9)
+    nodes = keyed.select(F.col("doc_id").alias("id"), F.struct("hard", F.col("doc_id").alias("id")).alias("rank"))
+    own = similarity.dedup_exact_keyed(keyed, "lang").join(similarity.decided_nodes(nodes, pairs), F.col("keep_id") == F.col("id"), "left")
     status = F.when(F.coalesce("status", F.lit("kept")) == "near_duplicate", "near_duplicate").when(F.col("doc_id") == F.col("keep_id"), "kept").otherwise("exact_duplicate")
     return own.select("doc_id", "lang", status.alias("status"), F.when(status == "near_duplicate", F.col("keeper")).when(status == "exact_duplicate", F.col("keep_id")).alias("keeper"))
 

@@ -213,3 +213,13 @@ def test_candidates_are_about_as_many_as_pairs(spark, monkeypatch):
             asked = [df.count() for df in written if df.columns == ["row_a", "row_b"]]
             # Of 24,000 pairs; at 0.8 a part holds three shingles, which stock sentences share now and then.
             assert asked and asked[-1] <= (3 * len(expected) + 20 if threshold == 0.9 else 400)
+
+
+def test_rounds_hold_linked_nodes_only(spark, monkeypatch):
+    nodes = spark.range(50).select("id", F.col("id").alias("rank"))
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (10, 12), (11, 12)], "id_a long, id_b long")
+    written, kept = [], similarity.stored
+    monkeypatch.setattr(similarity, "stored", lambda df: written.append(kept(df)) or written[-1])
+    got = {r.id: (r.status, r.keeper) for r in similarity.greedy_kept(nodes, pairs).collect()}
+    assert got == {**{i: ("kept", None) for i in range(50)}, 2: ("near_duplicate", 1), 4: ("near_duplicate", 3), 12: ("near_duplicate", 10)}
+    assert max(df.count() for df in written) == 7

@@ -5,15 +5,16 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.operators.validation import kind
+from tallyframe.functions import text as T
+from tallyframe.operators.validation import kind_of
 from tallyframe.plans.session import stored
 
 #: Levels that are unfolded between two writes.
-LEVELS = 4
+LEVELS = 8
 
 #: Names that a record's visible state must not have, and wordings that give a label away.
 FORBIDDEN_NAME = (
@@ -47,20 +48,28 @@ def pack_patterns(version: str, options: list[str], exclude: set[str] = frozense
     return [*LEAK_PATTERNS, *extra, re.escape(version), *names]
 
 
-def _place(path: Column, name: Column, node: Column, walked: Column) -> Column:
-    return F.struct(path.alias("path"), name.alias("name"), node.alias("node"), walked.alias("walked"))
+def _place(path: Column, name: Column, node: Column) -> Column:
+    """A place with kind and value; only arrays and objects, whose places are still to be made, keep their node."""
+
+    def made(what: Column) -> Column:
+        nested = what.isin("object", "array")
+        value = F.when(~nested & (what != "null"), F.try_variant_get(node, "$", "string"))
+        return F.struct(path.alias("path"), name.alias("name"), what.alias("kind"), value.alias("value"), F.when(nested, node).alias("node"))
+
+    # A schema is worked out from the whole subtree: once a place, not once a kind.
+    return T.let(F.schema_of_variant(node), lambda schema: T.let(kind_of(schema), made))
 
 
 def _unfolded(p: Column) -> Column:
-    """A place that is walked stays; another one gives itself, walked, and the places right below it."""
-    node, walked, nothing = p["node"], F.lit(True), F.array().cast("array<struct<path:string,name:string,node:variant,walked:boolean>>")
+    """A place without a node stays; another one gives itself, without it, and the places right below it."""
+    node = p["node"]
     fields = F.map_entries(F.try_variant_get(node, "$", "map<string,variant>"))
     items = F.try_variant_get(node, "$", "array<variant>")
-    below = F.coalesce(
-        F.transform(fields, lambda e: _place(F.concat(p["path"], F.lit("."), e["key"]), e["key"], e["value"], F.lit(False))),
-        F.transform(items, lambda x, i: _place(F.concat(p["path"], F.lit("["), i.cast("string"), F.lit("]")), F.lit(None).cast("string"), x, F.lit(False))), nothing,
-    )
-    return F.when(p["walked"], F.array(p)).otherwise(F.concat(F.array(_place(p["path"], p["name"], node, walked)), below))
+    below = F.when(
+        p["kind"] == "object", F.transform(fields, lambda e: _place(F.concat(p["path"], F.lit("."), e["key"]), e["key"], e["value"]))
+    ).otherwise(F.transform(items, lambda x, i: _place(F.concat(p["path"], F.lit("["), i.cast("string"), F.lit("]")), F.lit(None).cast("string"), x)))
+    own = F.struct(p["path"].alias("path"), p["name"].alias("name"), p["kind"].alias("kind"), p["value"].alias("value"), F.lit(None).cast("variant").alias("node"))
+    return F.when(node.isNull(), F.array(p)).otherwise(F.concat(F.array(own), below))
 
 
 def walk(rows: DataFrame, key: str, column: str) -> DataFrame:
@@ -68,24 +77,26 @@ def walk(rows: DataFrame, key: str, column: str) -> DataFrame:
 
     name is the field's name, null for the root and items of arrays. kind: object, array, string, integer, number,
     boolean or null. value: the text of a scalar that isn't null. Null and malformed texts have no place; of fields
-    that repeat a name the text is malformed. Levels are unfolded LEVELS at a time, then written, until nothing nested
-    is left, so any depth is walked and no plan grows with it.
+    that repeat a name the text is malformed. Levels are unfolded inside the row, LEVELS at a time, then written, until
+    nothing nested is left, so any depth is walked and no plan grows with it. What is written of a place that is done
+    holds no part of the JSON.
     """
-    root = rows.select(key, F.try_parse_json(column).alias("node")).where("node IS NOT NULL")
-    level = root.select(key, _place(F.lit("$"), F.lit(None).cast("string"), F.col("node"), F.lit(False)).alias("p"))
+    # A small file of records is one task to read and many times as large unfolded: records are dealt first.
+    dealt = rows.select(key, column).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    level = dealt.select(key, T.let(F.try_parse_json(column), lambda root: _place(F.lit("$"), F.lit(None).cast("string"), root)).alias("p"))
     found = None
     while True:
+        places = F.array("p")
         for _ in range(LEVELS):
-            level = level.select(key, F.explode(_unfolded(F.col("p"))).alias("p"))
-        level = stored(level)
-        done = level.where("p.walked").select(key, "p.path", "p.name", "p.node")
+            places = F.flatten(F.transform(places, _unfolded))
+        # Exploded outer: for an inner explode the optimizer makes the places once more to see whether there are any.
+        level = stored(level.select(key, F.explode_outer(places).alias("p")))
+        done = level.where("p.node IS NULL AND p.kind IS NOT NULL").select(key, "p.path", "p.name", "p.kind", "p.value")
         found = done if found is None else found.unionByName(done)
-        level = level.where("NOT p.walked")
+        level = level.where("p.node IS NOT NULL")
         if level.isEmpty():
             break
-    what = kind(F.col("node"))
-    scalar = ~what.isin("object", "array", "null")
-    return found.select(key, "path", "name", what.alias("kind"), F.when(scalar, F.try_variant_get("node", "$", "string")).alias("value"))
+    return found
 
 
 def forbidden_names(walked: DataFrame, key: str, pattern: str = FORBIDDEN_NAME) -> DataFrame:
@@ -102,21 +113,30 @@ def leak_matches(texts: DataFrame, key: str, column: str, patterns: list[str], a
     """key, pattern, match, context, allowed: every match of a pattern, with `window` signs of each side.
 
     A match is allowed if an allow pattern is in it or in its context. Positions are needed, so matching is Python,
-    batch by batch. Null texts match nothing.
+    batch by batch; a text that a batch repeats is looked at once. Null texts match nothing.
     """
     deny, allowed = [re.compile(p, re.IGNORECASE) for p in patterns], [re.compile(a, re.IGNORECASE) for a in allow]
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def told(text: str) -> list[tuple]:
+        found = []
+        for pattern in deny:
+            for m in pattern.finditer(text):
+                context = text[max(0, m.start() - window) : m.end() + window].replace("\n", " ")
+                found.append((pattern.pattern, m[0], context, any(a.search(m[0]) or a.search(context) for a in allowed)))
+        return found
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([(key, pa.int64()), ("pattern", pa.string()), ("match", pa.string()), ("context", pa.string()), ("allowed", pa.bool_())])
         for batch in batches:
-            found = []
-            for k, text in zip(batch[key], batch[column]):
-                for pattern in deny if text else ():
-                    for m in pattern.finditer(text):
-                        context = text[max(0, m.start() - window) : m.end() + window].replace("\n", " ")
-                        found.append((k, pattern.pattern, m[0], context, any(a.search(m[0]) or a.search(context) for a in allowed)))
-            yield pd.DataFrame(found, columns=[key, "pattern", "match", "context", "allowed"])
-
-    return texts.select(key, column).mapInPandas(scan, f"{key} long, pattern string, match string, context string, allowed boolean")
+            coded = batch.column(1).dictionary_encode()
+            matches = [told(t) if t else [] for t in coded.dictionary.to_pylist()]
+            some = pa.array([bool(m) for m in matches], pa.bool_()).take(coded.indices)
+            keys, codes = (c.filter(some).to_pylist() for c in (batch.column(0), coded.indices))
+            found = [(k, *m) for k, code in zip(keys, codes) for m in matches[code]]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
+
+    return texts.select(key, column).mapInArrow(scan, f"{key} long, pattern string, match string, context string, allowed boolean")
 
 
 def leak_codes(walked: DataFrame, key: str, patterns: list[str] = LEAK_PATTERNS, allow: list[str] = ()) -> DataFrame:

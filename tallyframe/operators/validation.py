@@ -29,7 +29,11 @@ def kind(value: Column) -> Column:
     Numbers with a point or an exponent are `number`. Integers beyond 64 bits are decimals of 19 to 38 digits without a
     fraction; a number as long whose fraction is zero is taken for one of them, longer ones are `number`.
     """
-    name = F.schema_of_variant(value)
+    return kind_of(F.schema_of_variant(value))
+
+
+def kind_of(name: Column) -> Column:
+    """kind() of a variant's schema."""
     return (
         F.when((name == "BIGINT") | name.rlike(r"^DECIMAL\((19|2\d|3[0-8]),0\)$"), "integer").when(name == "STRING", "string").when(name == "BOOLEAN", "boolean").when(name == "VOID", "null")
         .when(name.startswith("ARRAY"), "array").when(name.startswith("OBJECT"), "object").when(name.isNotNull(), "number")

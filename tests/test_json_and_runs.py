@@ -126,3 +126,12 @@ def test_lineage_keeps_records_without_a_candidate(spark):
     candidates = spark.createDataFrame([("1", "raw/1", 2)], "candidate_id string, raw_generation_path string, repair_attempt_count int")
     got = {r.record_id: (r.scenario_id, r.raw_generation_path, r.repair_attempt_count, r.surface_prompt_sha256) for r in runs.lineage(own, candidates, spark.createDataFrame([("p", "abc")], "task_pack string, surface_prompt_sha256 string")).collect()}
     assert got == {"1": ("s", "raw/1", 2, "abc"), "2": (None, None, None, None)}
+
+
+def test_a_single_file_is_walked_by_many_tasks(spark, monkeypatch):
+    written, kept = [], J.stored
+    monkeypatch.setattr(J, "stored", lambda df: written.append(kept(df)) or written[-1])
+    rows = spark.range(200).coalesce(1).selectExpr("id", """'{"a": [{"b": 1}, "the oracle"]}' AS j""")
+    walked = J.walk(rows, "id", "j")
+    assert walked.count() == 1000 and len(written[0].inputFiles()) > 1 and written[0].where("p.node IS NOT NULL").count() == 0
+    assert [(r.codes, r["count"]) for r in J.leak_codes(walked, "id").groupBy("codes").count().collect()] == [(["label_leak:oracle"], 200)]

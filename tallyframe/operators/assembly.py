@@ -137,10 +137,10 @@ def fingerprint(text: Column) -> Column:
     return F.substring(F.sha1(F.encode(tokens, "UTF-8")), 1, 12)
 
 
-def exact_contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id of documents with an item's fingerprint. Texts without a token aren't compared."""
+def exact_contamination(docs: DataFrame, items: DataFrame, tokenless: bool = False) -> DataFrame:
+    """doc_id of documents with an item's fingerprint. Texts without a token aren't compared, or with `tokenless` equal each other."""
     empty = F.substring(F.sha1(F.encode(F.lit(""), "UTF-8")), 1, 12)
-    known = items.select(fingerprint(F.col("text")).alias("f")).where(F.col("f") != empty).distinct()
+    known = items.select(fingerprint(F.col("text")).alias("f")).where(F.lit(tokenless) | (F.col("f") != empty)).distinct()
     return docs.select("doc_id", fingerprint(F.col("text")).alias("f")).join(known, "f", "left_semi").select("doc_id")
 
 

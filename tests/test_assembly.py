@@ -2,12 +2,14 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.operators import agent_gates as G
 from tallyframe.operators import assembly as A
 from tallyframe.operators import inference
 from tallyframe.operators import validation as V
+from tallyframe.plans import dataset_queries
 
 
 def test_codes_of_odd_records(spark):
@@ -81,6 +83,20 @@ def test_contamination_needs_tokens(spark):
     assert [r.doc_id for r in A.exact_contamination(docs, items).collect()] == [1]
 
 
+def test_signals_of_texts_without_tokens_equal_the_sql(spark, tmp_path):
+    """doc 50 is known by its head, which has no token: texts without one, null or not, are then exact copies as in the SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(50, "!" * 80 + " Some Words follow"), (1, None), (2, "?!"), (3, ""), (4, "one two"), (40, "One, two!"), (5, "three")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "four words of it")], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    duck = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        duck.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    expected = duck.sql(dataset_queries.ORACLES["contamination_signals"]).fetchall()
+    got = dataset_queries.contamination_signals(spark, str(tmp_path)).select("signal", "rows").collect()
+    assert sorted(map(tuple, got)) == sorted(expected) == [("any", 5), ("exact", 5)]
+
+
 def test_buckets_that_come_out_differently_each_time(spark, monkeypatch):
     """Approximate percentiles follow the order in which parts arrive: rows must be dealt and counted by the same ones."""
     given = A.F.percentile_approx

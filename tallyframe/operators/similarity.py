@@ -54,17 +54,22 @@ def _gram_rows(docs: DataFrame, columns: list[str], grams: Column, again: bool =
 
 
 def keyed_sets(docs: DataFrame, columns: list[str], n: int = 4) -> DataFrame:
-    """row, doc_id, columns, key (as of exact_keys) and set, the distinct shingles as 64-bit hashes, of every document; written."""
+    """row, doc_id, columns, key (as of exact_keys), set, the distinct shingles as 64-bit hashes, and n, how many, of every document; written."""
     made = T.let(T.text_words(F.col("text")), lambda w: F.struct(F.sha2(F.encode(F.array_join(w, " "), "UTF-8"), 256).alias("key"), T.shingle_hashes(w, n).alias("set")))
     keyed = docs.select("doc_id", *columns, made.alias("made"))
-    return stored(keyed.select(F.monotonically_increasing_id().alias("row"), "doc_id", *columns, "made.key", "made.set"))
+    return stored(keyed.select(F.monotonically_increasing_id().alias("row"), "doc_id", *columns, "made.key", "made.set", F.size("made.set").alias("n")))
+
+
+def _first_rows(keyed: DataFrame, own: list[str]) -> DataFrame:
+    """row, rep: the row that stands for each distinct text with words of a value of `own`, and its smallest doc_id."""
+    first = keyed.where("n > 0").groupBy(*own, "key").agg(F.min("doc_id").alias("rep"), F.min_by("row", "doc_id").alias("of_doc"), F.min("row").alias("any"))
+    return first.select(F.coalesce("of_doc", "any").alias("row"), "rep")
 
 
 def representatives(keyed: DataFrame, own: list[str]) -> DataFrame:
     """rep, own, set: one row for each distinct text with words of a value of `own`."""
     # Grouped without the sets: those of representatives are dealt once, by the number of their row.
-    first = keyed.where(F.size("set") > 0).groupBy(*own, "key").agg(F.min("doc_id").alias("rep"), F.min_by("row", "doc_id").alias("of_doc"), F.min("row").alias("any"))
-    return keyed.join(first.select(F.coalesce("of_doc", "any").alias("row"), "rep"), "row").select("rep", *own, "set")
+    return keyed.join(_first_rows(keyed, own), "row").select("rep", *own, "set")
 
 
 def shingle_sets(docs: DataFrame, pack: str, n: int = 4, also: tuple[str, ...] = ()) -> DataFrame:
@@ -158,30 +163,88 @@ def _parts(sets: DataFrame, threshold: float, largest: int, carried: list[str])
     return sets.select("row", "n", "pack_hash", "set", *carried).mapInArrow(of, kind)
 
 
+def _odd(hashes: np.ndarray) -> bytes:
+    """A bitmap of a bit an element or more, a power of two: each is the parity of the number of elements that fall on it."""
+    width = max(64, 1 << (len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _differ(a: bytes, b: bytes) -> int:
+    """Elements in which two sets differ, at least. The wider bitmap is folded: parities of a bit's halves add up."""
+    x, y = (np.frombuffer(w, np.uint8) for w in sorted((a, b), key=len))
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
+def _left_by_bitmaps(candidates: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The candidates, row_a and row_b, whose bitmaps don't prove them apart: sets as similar as the threshold differ in
+    (1 - t) / (1 + t) of their sizes' sum at most. Candidates carry bitmaps, a fiftieth of the sets; written."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = batch.column("set").flatten().to_numpy().view(np.uint64)
+            ends = np.cumsum(batch.column("n").to_numpy().astype(np.int64))
+            odd = [_odd(hashes[e - n : e]) for e, n in zip(ends, batch.column("n").to_numpy())]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("n"), pa.array(odd, pa.binary())], names=["row", "n", "odd"])
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = (batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()) * (1 - threshold) + 1e-6
+            stay = [_differ(x, y) * (1 + threshold) <= m for x, y, m in zip(batch.column("odd_a").to_pylist(), batch.column("odd_b").to_pylist(), most.tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("row_a", "row_b")], names=["row_a", "row_b"]).filter(pa.array(stay, pa.bool_()))
+
+    bits = stored(sets.select("row", "n", "set").mapInArrow(made, "row long, n int, odd binary"))
+    side = lambda x: bits.select(*[F.col(c).alias(f"{c}_{x}") for c in ("row", "n", "odd")])
+    return stored(candidates.join(side("a"), "row_a").join(side("b"), "row_b").mapInArrow(left, "row_a long, row_b long"))
+
+
 def similar_pairs(sets: DataFrame, pack: str, threshold: float, apart: str | None = None) -> DataFrame:
     """pack, id_a < id_b, jaccard of all pairs at the threshold or more; of different values of `apart` only, if given
-    (then also apart_a and apart_b). Written.
+    (then also apart_a and apart_b). Written."""
+    also = [apart] if apart else []
+    n = F.size("set")
+    sets = stored(sets.where(n > 0).select(F.monotonically_increasing_id().alias("row"), "rep", pack, *also, "set", n.alias("n")))
+    return _pairs(sets, sets.select("row", "rep"), None, pack, threshold, apart)
+
+
+def similar_texts(keyed: DataFrame, pack: str, threshold: float, apart: str | None = None) -> DataFrame:
+    """similar_pairs of the distinct texts among rows of keyed_sets. Sets stay where they are written: what is dealt is
+    numbers of rows, parts, and the sets of candidates."""
+    firsts = stored(_first_rows(keyed, [pack, apart] if apart else [pack]))
+    copies = stored(keyed.where("n > 0").select("row").join(firsts, "row", "left_anti"))
+    return _pairs(keyed.where("n > 0"), firsts, copies, pack, threshold, apart)
+
+
+def _pairs(sets: DataFrame, firsts: DataFrame, copies: DataFrame | None, pack: str, threshold: float, apart: str | None) -> DataFrame:
+    """similar_pairs of sets: row, pack, apart, set, n, written; firsts: row, rep; copies: the other rows, if there are any.
 
     Elements are dealt to parts by their hash, one part more than two similar sets can have elements that differ: at
     least one part of both is equal, and pairs meet in those alone. A part of texts that are unlike is hardly ever
     equal (at 0.9 it holds eight shingles), so candidates are about as many as pairs, however common a shingle is. Of a
-    run of equal parts the first makes the candidate. Candidates are verified once, by their whole sets. Exact at any
-    threshold; parts get small, and candidates many, below 0.8.
+    run of equal parts the first makes the candidate. Texts that are half alike are candidates too, more of them the
+    more texts there are: bitmaps prove most of them apart. The rest is verified once, by whole sets, of which only
+    those of some candidate are dealt. Exact at any threshold; parts get small, and candidates many, below 0.8.
     """
     also = [apart] if apart else []
-    n = F.size("set")
-    sets = stored(sets.where(n > 0).select(F.monotonically_increasing_id().alias("row"), "rep", pack, *also, "set", n.alias("n")))
     largest = sets.agg(F.max("n")).first()[0] or 0
-    parts = stored(_parts(sets.withColumn("pack_hash", F.xxhash64(pack)), threshold, largest, also))
+    parts = _parts(sets.withColumn("pack_hash", F.xxhash64(pack)), threshold, largest, also)
+    # Not written: both sides of the join are the same shuffle.
+    parts = parts.join(copies, "row", "left_anti") if copies is not None else parts
     side = lambda x: parts.select("sig", *[F.col(c).alias(f"{c}_{x}") for c in ("row", "n", "prev", *also)])
     fits = (F.col("row_a") < F.col("row_b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(threshold) - 1e-9) & F.coalesce(F.col("prev_a") != F.col("prev_b"), F.lit(True))
     fits = fits & (F.col(f"{apart}_a") != F.col(f"{apart}_b")) if apart else fits
-    candidates = stored(side("a").join(side("b"), "sig").where(fits).select("row_a", "row_b").distinct())
-    whole = lambda x: sets.select(*[F.col(c).alias(f"{c}_{x}") for c in ("row", "rep", pack, *also, "set")])
-    met = candidates.join(whole("a"), "row_a").join(whole("b"), "row_b").where(F.col(f"{pack}_a").eqNullSafe(F.col(f"{pack}_b")) & (F.col("rep_a") != F.col("rep_b")))
+    met = stored(side("a").join(side("b"), "sig").where(fits).select("row_a", "row_b").distinct())
+    candidates = _left_by_bitmaps(met, sets, threshold)
+    # Written, so that the join with the sets knows how few they are.
+    wanted = stored(candidates.select(F.explode(F.array("row_a", "row_b")).alias("row")).distinct().join(firsts, "row"))
+    own = stored(sets.select("row", pack, *also, "set").join(wanted, "row"))
+    whole = lambda x: own.select(*[F.col(c).alias(f"{c}_{x}") for c in ("row", "rep", pack, *also, "set")])
+    verified = candidates.join(whole("a"), "row_a").join(whole("b"), "row_b").where(F.col(f"{pack}_a").eqNullSafe(F.col(f"{pack}_b")) & (F.col("rep_a") != F.col("rep_b")))
     turned = F.col("rep_a") > F.col("rep_b")
     ends = [F.when(turned, F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}")).alias(f"{name}_{x}") for c, name in (("rep", "id"), *((c, c) for c in also)) for x, y in ("ab", "ba")]
-    found = met.select(F.col(f"{pack}_a").alias(pack), *ends, T.jaccard(F.col("set_a"), F.col("set_b")).alias("jaccard"))
+    found = verified.select(F.col(f"{pack}_a").alias(pack), *ends, T.jaccard(F.col("set_a"), F.col("set_b")).alias("jaccard"))
     return stored(found.where(F.col("jaccard") >= threshold))
 
 
@@ -195,8 +258,9 @@ def greedy_kept(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 def decided_nodes(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """greedy_kept of the nodes that have an earlier one beside them or are one; all others are kept.
 
-    A node is dropped if an earlier kept node is similar to it. Each round keeps all undecided nodes without an
-    undecided or kept earlier neighbour, then drops the neighbours of kept nodes; a few rounds suffice, each written.
+    A node is dropped if an earlier kept node is similar to it, whatever becomes of others. Each round keeps all undecided
+    nodes without an undecided or kept earlier neighbour, then drops the neighbours of kept nodes; a few rounds suffice,
+    also where all of a large group are similar, each written. The first kept neighbour is asked for once, in the end.
     nodes: id, rank (unique). pairs: id_a, id_b.
     """
     pairs = stored(pairs.select("id_a", "id_b"))
@@ -205,17 +269,15 @@ def decided_nodes(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     both = pairs.union(pairs.select("id_b", "id_a")).toDF("id", "other")
     ranked = both.join(own, "id").join(own.select(F.col("id").alias("other"), F.col("rank").alias("other_rank")), "other")
     earlier = stored(ranked.where("other_rank < rank").select("id", "other", "other_rank"))
-    state = stored(own.join(earlier.select("id").distinct().withColumn("linked", F.lit(True)), "id", "left").select("id", F.when(F.col("linked").isNull(), "kept").alias("status"), F.lit(None).cast("long").alias("keeper")))
+    state = stored(own.join(earlier.select("id").distinct().withColumn("linked", F.lit(True)), "id", "left").select("id", F.when(F.col("linked").isNull(), "kept").alias("status")))
     while not state.where("status IS NULL").isEmpty():
-        seen = earlier.join(state.where("status IS NULL").select("id"), "id", "left_semi").join(state.select(F.col("id").alias("other"), F.col("status").alias("other_status")), "other")
-        about = seen.groupBy("id").agg(
-            F.bool_or(F.col("other_status").eqNullSafe("kept")).alias("hit"), F.bool_or(F.col("other_status").isNull()).alias("open"),
-            F.min_by("other", F.when(F.col("other_status").eqNullSafe("kept"), F.col("other_rank"))).alias("by"),
-        )
-        # The first kept neighbour in order is only known once no earlier one is open: ask for no open one at all.
-        decided = F.when(F.col("status").isNotNull(), F.col("status")).when(F.col("open"), None).when(F.col("hit"), "near_duplicate").otherwise("kept")
-        state = stored(state.join(about, "id", "left").select("id", decided.alias("status"), F.when(decided == "near_duplicate", F.coalesce("keeper", "by")).alias("keeper")))
-    return state
+        seen = earlier.select("id", "other").join(state.where("status IS NULL").select("id"), "id", "left_semi").join(state.select(F.col("id").alias("other"), F.col("status").alias("other_status")), "other")
+        about = seen.groupBy("id").agg(F.bool_or(F.col("other_status").eqNullSafe("kept")).alias("hit"), F.bool_or(F.col("other_status").isNull()).alias("open"))
+        decided = F.when(F.col("status").isNotNull(), F.col("status")).when(F.col("hit"), "near_duplicate").when(F.col("open"), None).otherwise("kept")
+        state = stored(state.join(about, "id", "left").select("id", decided.alias("status")))
+    kept = earlier.join(state.where("status = 'kept'").select(F.col("id").alias("other")), "other", "left_semi")
+    first = kept.groupBy("id").agg(F.min_by("other", "other_rank").alias("keeper"))
+    return stored(state.join(first, "id", "left").select("id", "status", "keeper"))
 
 
 def split_of(doc_id: Column) -> Column:
@@ -226,7 +288,7 @@ def split_of(doc_id: Column) -> Column:
 
 def cross_split_pairs(docs: DataFrame, pack: str, threshold: float) -> DataFrame:
     """Similar pairs of different splits (`split` must be a column): texts are told apart by split before they pair."""
-    return similar_pairs(shingle_sets(docs, pack, also=("split",)), pack, threshold, apart="split")
+    return similar_texts(keyed_sets(docs, [pack, "split"]), pack, threshold, apart="split")
 
 
 def shingle_contamination(docs: DataFrame, items: DataFrame, n: int = 8, share: float = 0.10) -> DataFrame:

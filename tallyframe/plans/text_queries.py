@@ -63,7 +63,7 @@ p AS (SELECT c.lang, id_a, id_b, c / (x.n + y.n - c) AS jaccard FROM c JOIN n x
 
 @query("WITH " + _SETS.format(extra="", source="documents", where="") + "SELECT lang, id_a, id_b, round(jaccard, 6) AS jaccard FROM p WHERE jaccard >= 0.9")
 def dedup_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = similarity.similar_pairs(similarity.shingle_sets(docs_of(spark, sf_dir), "lang"), "lang", 0.9)
+    pairs = similarity.similar_texts(similarity.keyed_sets(docs_of(spark, sf_dir), ["lang"]), "lang", 0.9)
     return pairs.withColumn("jaccard", F.round("jaccard", 6))
 
 
@@ -72,7 +72,7 @@ def dedup_greedy_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hardest texts first (long, medium, short), then by id; copies follow their first row."""
     hard = F.when(T.length_bucket(F.col("text")) == "long", 0).when(T.length_bucket(F.col("text")) == "medium", 1).otherwise(2)
     keyed = similarity.keyed_sets(docs_of(spark, sf_dir).withColumn("hard", hard), ["lang", "hard"])
-    pairs = similarity.similar_pairs(similarity.representatives(keyed, ["lang"]), "lang", 0.9)
+    pairs = similarity.similar_texts(keyed, "lang", 0.9)
     nodes = keyed.select(F.col("doc_id").alias("id"), F.struct("hard", F.col("doc_id").alias("id")).alias("rank"))
     own = similarity.dedup_exact_keyed(keyed, "lang").join(similarity.decided_nodes(nodes, pairs), F.col("keep_id") == F.col("id"), "left")
     status = F.when(F.coalesce("status", F.lit("kept")) == "near_duplicate", "near_duplicate").when(F.col("doc_id") == F.col("keep_id"), "kept").otherwise("exact_duplicate")

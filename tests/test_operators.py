@@ -223,3 +223,31 @@ def test_rounds_hold_linked_nodes_only(spark, monkeypatch):
     got = {r.id: (r.status, r.keeper) for r in similarity.greedy_kept(nodes, pairs).collect()}
     assert got == {**{i: ("kept", None) for i in range(50)}, 2: ("near_duplicate", 1), 4: ("near_duplicate", 3), 12: ("near_duplicate", 10)}
     assert max(df.count() for df in written) == 7
+
+
+def test_a_large_group_of_copies_takes_few_rounds(spark, monkeypatch):
+    """Dropped is who has an earlier kept neighbour, also while others are open; the keeper is still the first one in order."""
+    nodes = spark.range(34).select("id", F.col("id").alias("rank"))
+    linked = [*combinations(range(30), 2), (30, 31), (31, 32), (30, 33), (32, 33)]
+    pairs = spark.createDataFrame(linked, "id_a long, id_b long")
+    written, kept = [], similarity.stored
+    monkeypatch.setattr(similarity, "stored", lambda df: written.append(df.columns) or kept(df))
+    got = {r.id: (r.status, r.keeper) for r in similarity.greedy_kept(nodes, pairs).collect()}
+    assert got == {0: ("kept", None), **{i: ("near_duplicate", 0) for i in range(1, 30)}, 30: ("kept", None), 31: ("near_duplicate", 30), 32: ("kept", None), 33: ("near_duplicate", 30)}
+    assert sum("status" in columns for columns in written) <= 6
+
+
+def test_sets_are_written_once_and_those_of_candidates(spark, monkeypatch):
+    """Texts that share three quarters of their shingles meet in some part: bitmaps tell them apart, their sets aren't dealt."""
+    random.seed(8)
+    stock = [f"w{k}" for k in range(700)]
+    texts = [" ".join([*stock, *(f"own{d}x{k}" for k in range(110))]) for d in range(30)]
+    texts += [texts[0] + " more", texts[0] + " most"]
+    docs = spark.createDataFrame([(i, t, "p", "ab"[i % 2]) for i, t in enumerate(texts)], "doc_id long, text string, pack string, split string")
+    written, kept = [], similarity.stored
+    monkeypatch.setattr(similarity, "stored", lambda df: written.append(kept(df)) or written[-1])
+    got = {(r.id_a, r.id_b) for r in similarity.cross_split_pairs(docs, "pack", 0.9).collect()}
+    assert got == {(0, 31), (30, 31)}
+    met = [df.count() for df in written if df.columns == ["row_a", "row_b"]]
+    assert met[0] > 100 and met[-1] == 2
+    assert sorted(df.count() for df in written if "set" in df.columns) == [3, 32]
